@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import exact_dedup, quality, simhash, url_filter, warc
+from plumbline.llm import bpe, exact_dedup, language, lattice, packing, quality, simhash, toxicity, url_filter, warc
 from plumbline.llm.common import table
 
 #: The rules of op10 (host, path, verdict).
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
+def _tokenizers():
+    """Where the public tokenizer files are, and the pattern that splits text; only these queries name that package."""
+    import public_tokenizers
+
+    return public_tokenizers
+
+
 def op1_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -22,6 +29,25 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizers()
+    ranks = files.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, files.PATTERN), ranks)
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
+def op5_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score_report(table(spark, sf_dir, "documents"), _tokenizers().path("piece_bpe_32k.model"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizers()
+    return packing.pack_documents(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.json"), files.PATTERN)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality.quality_report(table(spark, sf_dir, "documents"), trusted)
@@ -31,6 +57,10 @@ def op8_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"), warc.archive_path(spark))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -40,8 +70,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_groups": op1_simhash_groups,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_byte_bpe": op3_byte_bpe,
+        "op4_language": op4_language,
+        "op5_lattice_scores": op5_lattice_scores,
+        "op6_packing": op6_packing,
         "op7_quality_rules": op7_quality_rules,
         "op8_warc_round_trip": op8_warc_round_trip,
+        "op9_toxicity": op9_toxicity,
         "op10_url_rules": op10_url_rules,
     }
 
