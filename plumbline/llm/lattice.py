@@ -51,6 +51,30 @@ class Lattice:
             alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 else top)
         return alpha[-1]
 
+    def expect(self, word: str, times: int, into: dict[str, float]) -> None:
+        """Add to `into` how often each piece is expected in the segmentations of the word, weighted by probability."""
+        text, piece, longest = MARK + word, self.piece, self.longest
+        edges: list[list[tuple[int, float, str | None]]] = [[]]
+        alpha = [0.0]
+        for end in range(1, len(text) + 1):
+            own = [(end - 1, sum(self.byte[b] for b in text[end - 1].encode("utf-8", "replace")), None)]
+            for start in range(max(0, end - longest), end):
+                if (x := piece.get(part := text[start:end])) is not None:
+                    own.append((start, x, part))
+            edges.append(own)
+            terms = [alpha[start] + x for start, x, _ in own]
+            top = max(terms)
+            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+        # Backwards, the share of all probability that goes through each place.
+        share = [0.0] * len(text) + [float(times)]
+        for end in range(len(text), 0, -1):
+            if share[end]:
+                for start, x, part in edges[end]:
+                    through = share[end] * math.exp(alpha[start] + x - alpha[end])
+                    share[start] += through
+                    for p in (part,) if part else [f"<0x{b:02X}>" for b in text[start].encode("utf-8", "replace")]:
+                        into[p] = into.get(p, 0.0) + through
+
 
 def is_byte(piece: str) -> bool:
     return len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">")
@@ -93,12 +117,29 @@ def _totals(rows: list[tuple]) -> dict[bytes, int]:
     return total
 
 
-def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _expected(blocks: Blocks, pieces: list[str], held) -> np.ndarray:
+    """The expected count of each piece over the words that teach, under the lattice that `held` broadcasts."""
+
+    def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of_bucket in _bucket_rows(batches):
+            into: dict[str, float] = {}
+            for word, n in sorted(_totals(of_bucket).items()):
+                if n:
+                    held.value.expect(word.decode("utf-8"), n, into)
+            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["piece", "n"])
+
+    found = blocks.by_bucket(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
+    expected = {r["piece"]: r["n"] for r in found}
+    return np.array([expected.get(p, 0.0) if p else 0.0 for p in pieces])
+
+
+def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1, rounds: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     learn: a condition on the columns of docs; its rows teach. Tokens are the words of the text, A-Z lower-cased, and one
     end. base_score: sum of log10((c + 1) / (N + V + 1)); score: log10 of the text's marginal probability over all
-    segmentations, with its end. Null and empty texts are just an end. With nothing to learn from, pieces are equally
+    segmentations, with its end. Pieces are counted in the vocabulary's own segmentation of the words that teach, then
+    `rounds` times by expectation over all segmentations. Null and empty texts are just an end. With nothing to learn from, pieces are equally
     likely. Repeated rows get a row each and teach twice; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -127,6 +168,9 @@ def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str =
     distinct = learnt.get(-2, 0) + (ends > 0)
     counts = np.array([learnt.get(i, 0) if p else 0 for i, p in enumerate(pieces)], float)
     lattice = Lattice(pieces, counts, ends, smoothing)
+    for _ in range(rounds if tokens else 0):
+        counts = _expected(blocks, pieces, spark.sparkContext.broadcast(lattice))
+        lattice = Lattice(pieces, counts, ends, smoothing)
     held = spark.sparkContext.broadcast(lattice)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
