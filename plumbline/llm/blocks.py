@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import checkpoint_dir
 
 #: Bytes of text after which a block is closed.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 _LEVEL = 3
 
 

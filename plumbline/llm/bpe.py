@@ -19,7 +19,9 @@ from plumbline.llm.blocks import BLOCK_BYTES, Blocks, Coder, block_rows, pack, u
 from plumbline.llm.common import rows_of
 
 #: Distinct pieces of text, or words of a bucket, that a task remembers at once.
-_KNOWN = 400_000
+_KNOWN = 200_000
+#: Pre-tokens of the documents that are put together at once.
+_ASSEMBLED = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -126,13 +128,17 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                 cuts = [8 + int.from_bytes(f[:8], "little") for f in found]
                 n = np.concatenate([unpack(f[8:c]) for f, c in zip(found, cuts, strict=True)] or [np.zeros(0, np.uint32)]).astype(np.int64)
                 flat = np.concatenate([unpack(f[c:]) for f, c in zip(found, cuts, strict=True)] or [np.zeros(0, np.uint32)])
-                begins, own = np.cumsum(n) - n, n[places]
-                at = np.repeat(begins[places] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                ends = np.concatenate([[0], np.cumsum(own)])[np.concatenate([[0], np.cumsum(lengths)])]
-                for low in range(0, len(ids), 1000):
-                    high = min(low + 1000, len(ids))
-                    part = pa.ListArray.from_arrays(pa.array((ends[low : high + 1] - ends[low]).astype(np.int32)), pa.array(flat[at[ends[low] : ends[high]]].astype(np.int32)))
+                begins, bounds = np.cumsum(n) - n, np.concatenate([[0], np.cumsum(lengths)])
+                low = 0
+                while low < len(ids):  # some documents at a time, one at least
+                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + _ASSEMBLED, "right")) - 1)
+                    place = places[bounds[low] : bounds[high]]
+                    own = n[place]
+                    at = np.repeat(begins[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                    ends = np.concatenate([[0], np.cumsum(own)])[bounds[low : high + 1] - bounds[low]]
+                    part = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at].astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), part], ["doc_id", "ids"])
+                    low = high
 
     values = blocks.by_bucket(look_up, "block string, bucket int, payload binary")
     return blocks.with_values(values, assemble, f"doc_id {blocks.id_type}, ids array<int>")
