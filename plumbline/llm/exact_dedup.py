@@ -26,10 +26,6 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def _digest(text: Column, digest_bytes: int) -> Column:
-    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 2 * digest_bytes))
-
-
 def flush_runs(entries: DataFrame, memtable_rows: int = 200_000) -> DataFrame:
     """(digest, keep_id, n): sorted runs of at most memtable_rows digests, from rows (digest, doc_id, m)."""
 
@@ -79,7 +75,8 @@ def bloom_filter(digests: DataFrame, bits: int) -> np.ndarray:
     return whole.reshape(-1)
 
 
-def _may_hold(digest: Column, spark, bits: np.ndarray) -> Column:
+def may_hold(digest: Column, spark, bits: np.ndarray) -> Column:
+    """Whether the filter may hold a digest: always true for those that it was built from."""
     held = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
@@ -111,14 +108,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bits = bloom_filter(multi.select(F.col("key").alias("digest")), filter_bits)
 
     # The texts that may have a copy, the filter's few false positives dropped by the join.
-    maybe = hashed.where(_may_hold(F.col("digest"), spark, bits))
+    maybe = hashed.where(may_hold(F.col("digest"), spark, bits))
     texts = durable(maybe.join(multi, F.col("digest") == F.col("key")).select("doc_id", "digest", "norm", "keep_id"))
-    keepers = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("key"), F.col("norm").alias("kept_norm")).dropDuplicates(["key"])
-    clashes = texts.join(keepers, F.col("digest") == F.col("key")).where("norm <> kept_norm").select("digest").distinct()
+    keepers = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("key"), F.col("norm").alias("kept_norm"))
+    # Written down, so that the comparison is a join of two plain shuffles, whose hot digests Spark can split.
+    keepers = durable(keepers.dropDuplicates(["key"]))
+    clashes = texts.join(keepers, F.col("digest") == F.col("key")).where("norm <> kept_norm").select("digest")
     found = entries.join(index.where("n > 1"), "digest", "left")
     found = found.select("doc_id", "text_sha256", "m", "digest", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", "m").alias("n"))
     if clashes.limit(1).count():
         # Different texts with one key: their documents are grouped by the texts themselves.
+        clashes = durable(clashes.distinct())
         apart = durable(texts.join(clashes, "digest", "left_semi").withColumn("text_sha256", F.sha2(F.col("norm").cast("binary"), 256)))
         exact = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n"))
         again = apart.drop("keep_id").join(exact, ["digest", "norm"]).groupBy("doc_id", "text_sha256", "norm", "digest", "keep_id", "n").agg(F.count(F.lit(1)).alias("m"))

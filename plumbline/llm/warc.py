@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpoint_dir, durable
+from plumbline.llm.exact_dedup import bloom_filter, may_hold
 
 #: Format of WARC 1.1: what begins a record, what ends it.
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 _SPLIT = END + VERSION
 
 
-def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 100) -> DataFrame:
+def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 100, filter_bits: int = 1 << 23) -> DataFrame:
     """(page_id, payload, payload_bytes, payload_digest, record_type, refers_to), a row for each row of pages.
 
     Of records with equal payloads of at least min_revisit bytes the one with the smallest id is the response and the
@@ -33,8 +34,13 @@ def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("page_id"), payload.alias("payload"))
     sized = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    index = sized.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    joined = sized.join(index.where("n > 1").drop("n").withColumnRenamed("payload_digest", "digest"), F.col("payload_digest") == F.col("digest"), "left")
+    large = F.col("payload_bytes") >= min_revisit
+    index = sized.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    index = durable(index.where("n > 1").select(F.col("payload_digest").alias("digest"), "first"))
+    # Only payloads that pass a filter of the repeated digests go through the join; the others stay where they are.
+    maybe = large & may_hold(F.col("payload_digest"), pages.sparkSession, bloom_filter(index, filter_bits))
+    alone = sized.where(~maybe).withColumn("first", F.lit(None).cast(pages.schema[id_col].dataType))
+    joined = sized.where(maybe).join(index, F.col("payload_digest") == F.col("digest"), "left").drop("digest").unionByName(alone)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select(
         "page_id", "payload", "payload_bytes", "payload_digest",
@@ -43,16 +49,16 @@ def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     )
 
 
-def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18) -> DataFrame:
+def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, unique_ids: bool = False) -> DataFrame:
     """The records as rows of record_id, chunk_no (from 1), chunks and chunk; a revisit has one empty chunk.
 
-    record_id is the decimal page_id with a suffix for repeated rows, so that every row of the input is one record.
+    record_id is the decimal page_id, with a suffix for repeated rows unless unique_ids says that there are none, so
+    that every row of the input is one record.
     """
     from pyspark.sql import Window
 
-    # Repeated ids are rare, and rows of one id are told apart by their place in an order over all that they hold.
-    repeated = records.groupBy("page_id").count().where("count > 1")
-    if repeated.limit(1).count():
+    if not unique_ids:
+        # Rows of one id are told apart by their place in an order over all that they hold.
         order = Window.partitionBy("page_id").orderBy("payload_digest", "record_type")
         records = records.withColumn("turn", F.row_number().over(order) - 1)
     else:
@@ -165,7 +171,8 @@ def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id", pay
     digest in any header differs from that of the payload.
     """
     spark = pages.sparkSession
-    write_archives(chunk_rows(record_types(pages, id_col, payload_col), chunk_bytes), path)
+    repeated = pages.groupBy(id_col).count().where("count > 1").limit(1).count()
+    write_archives(chunk_rows(record_types(pages, id_col, payload_col), chunk_bytes, unique_ids=not repeated), path)
     records = durable(payload_digests(read_archives(spark, path)))
     kind = pages.schema[id_col].dataType
     as_id = lambda c: F.nullif(F.regexp_extract(c, "^([^.]*)", 1), F.lit("null")).cast(kind)
