@@ -55,7 +55,7 @@ def unpack_words(packed: bytes) -> list[bytes]:
     cut = 8 + int.from_bytes(packed[:8], "little")
     raw = zstandard.ZstdDecompressor().decompress(packed[cut:])
     ends = np.cumsum(unpack(packed[8:cut]), dtype=np.int64).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [raw[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)]
 
 
 class Coder(dict):
