@@ -71,14 +71,18 @@ def _measures(docs: DataFrame, text_col: str, ratios: list[float]) -> DataFrame:
     df = df.withColumn("__q_again", F.transform(again, lambda x: x["i"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform("__q_again", lambda i: F.array(i, i + 1, i + 2)))))
     total = F.aggregate("__q_grams", F.lit(0.0), lambda acc, g: acc + F.get(table, g))
-    return (
-        df.withColumn("__q_n_words", n.cast("long"))
-        .withColumn("__q_word_chars", F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"))
-        .withColumn("__q_n_symbols", (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"))
-        .withColumn("__q_n_dup_lines", (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"))
-        .withColumn("__q_n_repeat_words", F.when(F.col("__q_again").isNull(), F.lit(0)).otherwise(covered).cast("long"))
-        .withColumn("__q_score", F.when(F.size("__q_grams") == 0, F.lit(0.0)).otherwise(total / F.size("__q_grams")))
-    )
+    # A filter on these columns would be pushed below them with their definitions written into it, and lambdas would then
+    # sort a text's windows again for every window. Spark pushes no filter past a column that depends on the partition.
+    pinned = lambda c: F.when(F.spark_partition_id() >= 0, c)
+    measures = {
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
+        "n_repeat_words": F.when(F.col("__q_again").isNull(), F.lit(0)).otherwise(covered).cast("long"),
+        "score": F.when(F.size("__q_grams") == 0, F.lit(0.0)).otherwise(total / F.size("__q_grams")),
+    }
+    return df.select(*docs.columns, *[pinned(c).alias(f"__q_{name}") for name, c in measures.items()])
 
 
 def _rule_columns(min_words: int, max_repeat_percent: int, min_score: float) -> tuple[Column, Column]:
