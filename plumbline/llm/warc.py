@@ -3,8 +3,8 @@
 A payload becomes rows of record identifier and chunk number; each row is one WARC record of its own (the first a
 response, the rest continuation segments), so no writer or reader holds more than a chunk beyond the payload's own column.
 Archives are plain files of Spark's text writer, whose line separator is the blank lines that end a WARC record; they
-are read by splitting at the start of the next record, on any file system that Spark reads. Chunks never hold that
-separator, as a payload is cut inside each place where it occurs.
+are read by splitting at the start of the next record, on any file system that Spark reads. Chunks never hold the mark
+that a record begins with, as a payload is cut inside each place where it occurs.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpoint_dir, durable
@@ -21,7 +21,7 @@ from plumbline.llm.exact_dedup import bloom_filter, may_hold
 
 #: Format of WARC 1.1: what begins a record, what ends it.
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
-_SPLIT = END + VERSION
+_SPLIT, _MARK = END + VERSION, VERSION.strip()
 
 
 def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 100, filter_bits: int = 1 << 23) -> DataFrame:
@@ -65,9 +65,9 @@ def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, unique_ids: bool
         records = records.withColumn("turn", F.lit(0))
     name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.when(F.col("turn") > 0, F.concat(F.lit("."), F.col("turn"))).otherwise(F.lit("")))
     body = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    # A cut two bytes into "WARC" wherever the payload holds the separator; then each piece by size.
+    # A cut two bytes into each version mark in the payload; then each piece by size.
     held = records.withColumn("record_id", name).withColumn("body", body)
-    marks = F.when(F.instr(F.col("body").cast("string"), _SPLIT) > 0, _cut(F.col("body"))).otherwise(F.array(F.col("body")))
+    marks = F.when(F.instr(F.col("body").cast("string"), _MARK) > 0, _cut(F.col("body"))).otherwise(F.array(F.col("body")))
     spans = F.flatten(F.transform(marks, lambda piece: F.transform(
         F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(piece) / chunk_bytes).cast("int") - 1, F.lit(0))),
         lambda k: F.substring(piece, k * chunk_bytes + 1, F.lit(chunk_bytes)),
@@ -76,9 +76,9 @@ def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, unique_ids: bool
     return cut.select("page_id", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", F.size("parts").alias("chunks"), F.posexplode("parts").alias("k", "chunk")).withColumn("chunk_no", F.col("k") + 1).drop("k")
 
 
-def _cut(body):
-    """body in pieces, cut after the second letter of each separator in it."""
-    texts = F.split(F.decode(body, "ISO-8859-1"), f"(?<=\r\n\r\n{VERSION[:2]})(?={VERSION[2:].strip()}\r\n)", -1)
+def _cut(body: Column) -> Column:
+    """body in pieces, cut inside each version mark: whatever stands around a piece, no record seems to begin in it."""
+    texts = F.split(F.decode(body, "ISO-8859-1"), f"(?<={_MARK[:2]})(?={_MARK[2:]})", -1)
     return F.transform(texts, lambda t: F.encode(t, "ISO-8859-1"))
 
 
