@@ -26,54 +26,135 @@ MARK = "▁"
 _LOG10 = math.log(10)
 
 
+#: Words longer than this go through the recursion one by one; the others by length, so many at once.
+_LONG, _TOGETHER = 200, 20_000
+#: Base of the rolling hash by which parts of words are found among the pieces of their length.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Lattice:
     """Log probabilities of a vocabulary's pieces, its single bytes and the end of a text."""
 
     def __init__(self, pieces: list[str], counts: np.ndarray, ends: int, smoothing: float = 0.1):
         total = counts.sum() + ends + smoothing * (len(pieces) + 1)
-        logs = np.log((counts + smoothing) / total).tolist()
+        self.logs = np.log((counts + smoothing) / total)
         self.end = math.log((ends + smoothing) / total)
-        self.byte = {int(p[3:5], 16): x for p, x in zip(pieces, logs, strict=True) if is_byte(p)}
-        self.piece = {p: x for p, x in zip(pieces, logs, strict=True) if p and not is_byte(p)}
+        self.number = {p: i for i, p in enumerate(pieces) if p}
+        self.byte_number = np.array([self.number[f"<0x{b:02X}>"] for b in range(256)])
+        self.byte = self.logs[self.byte_number]
+        self.piece = {p: float(self.logs[i]) for p, i in self.number.items() if not is_byte(p)}
         self.longest = max(map(len, self.piece), default=0)
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations of the word with its mark; a character may be bytes."""
-        text, piece, longest = MARK + word, self.piece, self.longest
+        self.tables = {}
+        for size in sorted({len(p) for p in self.piece}):
+            own = [p for p in self.piece if len(p) == size]
+            hashes = _prefix_hashes(_code_points(own, size))[:, -1]
+            order = np.argsort(hashes)
+            self.tables[size] = hashes[order], np.array([self.number[p] for p in own])[order]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """Natural log of each word's probability, summed over all segmentations of the word with its mark."""
+        out = np.empty(len(words))
+        for at, some in _by_length(words):
+            out[at] = [self._long(w, None, None) for w in some] if len(some[0]) > _LONG else self._forward(some)[0][-1]
+        return out
+
+    def expect(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in the segmentations of the words, each so many times."""
+        counts = np.zeros(len(self.logs))
+        for at, some in _by_length(words):
+            if len(some[0]) > _LONG:
+                for word, n in zip(some, times[at], strict=True):
+                    self._long(word, float(n), counts)
+            else:
+                self._backward(*self._forward(some), times[at].astype(float), counts)
+        return counts
+
+    def _forward(self, words: list[str]) -> tuple:
+        """alpha by place, the edges that end at each place, and each character's bytes; words of one length."""
+        text = _code_points([MARK + w for w in words], len(words[0]) + 1)
+        hashes = _prefix_hashes(text)
+        letters, letter = np.unique(text, return_inverse=True)
+        letter = letter.reshape(text.shape)
+        spelt = [[*chr(c).encode("utf-8", "replace")] for c in letters]
+        spell = np.array([self.byte[b].sum() for b in spelt])[letter]
+        alpha, edges = [np.zeros(len(words))], [[]]
+        powers = _BASE ** np.arange(self.longest + 1, dtype=np.uint64)
+        for end in range(1, text.shape[1] + 1):
+            own, sums = [], alpha[end - 1] + spell[:, end - 1]  # a character may always be written as its bytes
+            for size, (table, number) in self.tables.items():
+                if size > end:
+                    break
+                wanted = hashes[:, end] - hashes[:, end - size] * powers[size]
+                found = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+                rows = np.flatnonzero(table[found] == wanted)
+                if len(rows):
+                    ids = number[found[rows]]
+                    own.append((end - size, rows, ids))
+                    sums[rows] = np.logaddexp(sums[rows], alpha[end - size][rows] + self.logs[ids])
+            alpha.append(sums)
+            edges.append(own)
+        return alpha, edges, (spelt, letter, spell)
+
+    def _backward(self, alpha: list, edges: list, spelling: tuple, times: np.ndarray, counts: np.ndarray) -> None:
+        """Add to counts the share of `times` that goes through each edge."""
+        spelt, letter, spell = spelling
+        share = [np.zeros_like(times) for _ in alpha[:-1]] + [times]
+        by_letter = np.zeros(len(spelt))
+        for end in range(len(alpha) - 1, 0, -1):
+            through = share[end] * np.exp(alpha[end - 1] + spell[:, end - 1] - alpha[end])
+            share[end - 1] += through
+            by_letter += np.bincount(letter[:, end - 1], through, len(spelt))
+            for start, rows, ids in edges[end]:
+                through = share[end][rows] * np.exp(alpha[start][rows] + self.logs[ids] - alpha[end][rows])
+                share[start][rows] += through
+                counts += np.bincount(ids, through, len(counts))
+        for octets, n in zip(spelt, by_letter, strict=True):
+            np.add.at(counts, self.byte_number[octets], n)
+
+    def _long(self, word: str, times: float | None, counts: np.ndarray | None) -> float:
+        """The recursion over one word; with times, expectations are added to counts as well."""
+        text, piece = MARK + word, self.piece
+        spell = {c: float(self.byte[[*c.encode("utf-8", "replace")]].sum()) for c in set(text)}
         alpha = [0.0]
         for end in range(1, len(text) + 1):
-            # A character that is a piece may still be written as bytes: one more edge of the lattice.
-            terms = [alpha[end - 1] + sum(self.byte[b] for b in text[end - 1].encode("utf-8", "replace"))]
-            for start in range(max(0, end - longest), end):
-                if (x := piece.get(text[start:end])) is not None:
-                    terms.append(alpha[start] + x)
+            terms = [alpha[end - 1] + spell[text[end - 1]]]
+            terms += [alpha[start] + piece[part] for start in range(max(0, end - self.longest), end) if (part := text[start:end]) in piece]
             top = max(terms)
-            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])) if len(terms) > 1 else top)
+            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
+        if times is not None:
+            share = [0.0] * len(text) + [times]
+            for end in range(len(text), 0, -1):
+                through = share[end] * math.exp(alpha[end - 1] + spell[text[end - 1]] - alpha[end])
+                share[end - 1] += through
+                np.add.at(counts, self.byte_number[[*text[end - 1].encode("utf-8", "replace")]], through)
+                for start in range(max(0, end - self.longest), end):
+                    if (x := piece.get(part := text[start:end])) is not None:
+                        through = share[end] * math.exp(alpha[start] + x - alpha[end])
+                        share[start] += through
+                        counts[self.number[part]] += through
         return alpha[-1]
 
-    def expect(self, word: str, times: int, into: dict[str, float]) -> None:
-        """Add to `into` how often each piece is expected in the segmentations of the word, weighted by probability."""
-        text, piece, longest = MARK + word, self.piece, self.longest
-        edges: list[list[tuple[int, float, str | None]]] = [[]]
-        alpha = [0.0]
-        for end in range(1, len(text) + 1):
-            own = [(end - 1, sum(self.byte[b] for b in text[end - 1].encode("utf-8", "replace")), None)]
-            for start in range(max(0, end - longest), end):
-                if (x := piece.get(part := text[start:end])) is not None:
-                    own.append((start, x, part))
-            edges.append(own)
-            terms = [alpha[start] + x for start, x, _ in own]
-            top = max(terms)
-            alpha.append(top + math.log(sum([math.exp(t - top) for t in terms])))
-        # Backwards, the share of all probability that goes through each place.
-        share = [0.0] * len(text) + [float(times)]
-        for end in range(len(text), 0, -1):
-            if share[end]:
-                for start, x, part in edges[end]:
-                    through = share[end] * math.exp(alpha[start] + x - alpha[end])
-                    share[start] += through
-                    for p in (part,) if part else [f"<0x{b:02X}>" for b in text[start].encode("utf-8", "replace")]:
-                        into[p] = into.get(p, 0.0) + through
+
+def _code_points(texts: list[str], size: int) -> np.ndarray:
+    return np.array(texts, f"<U{size}").view(np.uint32).reshape(len(texts), size)
+
+
+def _prefix_hashes(points: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+    for i in range(points.shape[1]):
+        out[:, i + 1] = out[:, i] * _BASE + points[:, i] + np.uint64(1)
+    return out
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(positions, words) of equally long words, at most _TOGETHER at once."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    bounds = np.flatnonzero(np.diff(lengths[order])) + 1
+    for group in np.split(order, bounds) if len(order) else []:
+        for at in range(0, len(group), _TOGETHER):
+            some = group[at : at + _TOGETHER]
+            yield some, [words[i] for i in some]
 
 
 def is_byte(piece: str) -> bool:
@@ -122,15 +203,14 @@ def _expected(blocks: Blocks, pieces: list[str], held) -> np.ndarray:
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of_bucket in _bucket_rows(batches):
-            into: dict[str, float] = {}
-            for word, n in sorted(_totals(of_bucket).items()):
-                if n:
-                    held.value.expect(word.decode("utf-8"), n, into)
-            yield pa.RecordBatch.from_arrays([pa.array(list(into), pa.string()), pa.array(list(into.values()), pa.float64())], ["piece", "n"])
+            total = [(w.decode("utf-8"), n) for w, n in sorted(_totals(of_bucket).items()) if n]
+            counts = held.value.expect([w for w, _ in total], np.array([n for _, n in total], np.int64))
+            some = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
-    found = blocks.by_bucket(expect, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
+    found = blocks.by_bucket(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
     expected = {r["piece"]: r["n"] for r in found}
-    return np.array([expected.get(p, 0.0) if p else 0.0 for p in pieces])
+    return np.array([expected.get(i, 0.0) for i in range(len(pieces))])
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1, rounds: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -176,11 +256,13 @@ def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str =
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for of_bucket in _bucket_rows(batches):
             total = _totals(of_bucket)
-            value = {w: (math.log10(n + 1), held.value.log_probability(w.decode("utf-8")) / _LOG10) for w, n in total.items()}
+            place = {w: i for i, w in enumerate(total)}
+            logs = np.log10(np.fromiter(total.values(), np.int64, len(total)) + 1)
+            lps = (held.value.log_probabilities([w.decode("utf-8") for w in total]) / _LOG10).astype(np.float32)
             out = []
             for _, _, words, _ in of_bucket:
-                both = np.array([value[w] for w in unpack_words(words)], np.float64)
-                out.append(zstandard.ZstdCompressor(level=1).compress(both[:, 0].tobytes() + both[:, 1].astype(np.float32).tobytes()))
+                at = np.array([place[w] for w in unpack_words(words)], np.int64)
+                out.append(zstandard.ZstdCompressor(level=1).compress(logs[at].tobytes() + lps[at].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in of_bucket]), pa.array([r[1] for r in of_bucket], pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
 
     base = math.log10(tokens + distinct + 1)
