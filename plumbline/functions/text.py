@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The patterns of links, numbers and hints.
 URL = r"""https?://[^\s\)\]>"']+"""
@@ -145,7 +146,7 @@ def _norm_value(value: object) -> str:
     return text.casefold()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def norm_unicode(cells: pd.Series) -> pd.Series:
     """norm with Unicode normalisation and case folding, which Spark SQL has no function for."""
     return cells.map(_norm_value, na_action=None)
@@ -172,7 +173,7 @@ def snap_to(options: list[str], cutoff: float = 0.78, lead: float = 0.08):
                 return None
         return forms[close[0]] if close else None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def snapped(texts: pd.Series) -> pd.Series:
         known = {t: snap(t) for t in texts.unique()}
         return texts.map(known)
