@@ -10,7 +10,7 @@ def job_grid(*sides: DataFrame) -> DataFrame:
     """Every combination of small tables such as models, questions and repetitions; the size is the point of it."""
     out = sides[0]
     for side in sides[1:]:
-        out = out.crossJoin(F.broadcast(side))
+        out = out.crossJoin(side)
     return out
 
 
