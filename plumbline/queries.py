@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import integrity, jobs, reports, rules, scoring, sequences, series, spatial
+from plumbline.operators import citations, forms, integrity, jobs, reports, rules, scoring, sequences, series, spatial
 from plumbline.plans.algebra import Aggregate, Compare, Rank, Region, Relate, Select, canonical
 from plumbline.plans.compile import Answer, compile_plan
 from plumbline.sources.catalog import table
@@ -355,6 +355,53 @@ def plan_determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").agg(F.count_distinct(texts).cast("int").alias("distinct_plans"), F.count(F.lit(1)).alias("reps"))
 
 
+@_query("""SELECT page_id, 0 AS pos, left(url, 160) AS url, page_id % 5 <> 0 OR page_id % 7 = 0 AS resolves,
+CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN '' WHEN page_id % 2 = 0 THEN CAST(page_id + 100000 AS VARCHAR) ELSE '' END AS numbers FROM pages""")
+def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that cite a page and name a number; some pages are missing, some failed, half of the others have the number."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    number = F.format_number(F.col("page_id") + 100_000, 0)
+    runs = pages.select("page_id", F.concat(F.lit("It is "), number, F.lit(" of 12 [see "), "url", F.lit("].")).alias("body"))
+    body = F.when(F.col("page_id") % 5 == 0, F.lit(citations.FAILED)).when(F.col("page_id") % 2 == 0, F.concat(F.lit("in all "), number)).otherwise("nothing")
+    found = citations.citations(runs, pages.where("page_id % 7 <> 0").select("url", body.alias("body")), ["page_id"])
+    return found.withColumn("numbers", F.array_join("numbers", ";"))
+
+
+@_query("""SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS gold_num_present, 1 AS n_citations, conv_id % 2 = 0 AS askback_hint,
+60 + length(CAST(conv_id AS VARCHAR)) + CASE WHEN conv_id % 2 = 0 THEN 20 ELSE 0 END AS chars FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def run_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("conv_id")
+    bank = spark.createDataFrame([(0, "about 25"), (1, "26 of them"), (2, "none")], "q int, gold string")
+    ask = F.when(i % 2 == 0, " Which one is meant?").otherwise("")
+    runs = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("q", (i % 3).cast("int"))
+    runs = runs.withColumn("body", F.concat(F.rpad(F.lit("It was 25 then, says http://a.example/x"), 60, "."), i.cast("string"), ask))
+    found = citations.run_features(citations.with_question(runs, bank, "q"))
+    return found.select("conv_id", "gold_num_present", F.col("n_citations").cast("int").alias("n_citations"), "askback_hint", "chars")
+
+
+_SURVEY = "SELECT user_id AS form, event_id, ts, CASE event_type WHEN 'signup' THEN 'begin_repeat' WHEN 'error' THEN 'end_repeat' WHEN 'click' THEN 'select_multiple x' WHEN 'view' THEN 'integer' ELSE 'image' END AS type FROM events WHERE event_id % 40 < 12"
+
+
+@_query(f"""WITH s AS (SELECT form, type, row_number() OVER (PARTITION BY form ORDER BY ts, event_id) AS pos FROM ({_SURVEY})),
+a AS (SELECT *, sum(CASE type WHEN 'begin_repeat' THEN 1 WHEN 'end_repeat' THEN -1 ELSE 0 END) OVER (PARTITION BY form ORDER BY pos) AS s FROM s),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY form ORDER BY pos)) AS depth FROM a),
+i AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY form ORDER BY pos), 0) AS b, sum(CASE WHEN type IN ('select_multiple x', 'integer') AND depth >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY form ORDER BY pos) AS q FROM d),
+o AS (SELECT *, max(CASE WHEN type = 'begin_repeat' THEN pos END) OVER (PARTITION BY form ORDER BY pos) AS p FROM i),
+r AS (SELECT o.form, o.pos, o.q - c.q AS n FROM o JOIN o c ON c.form = o.form AND c.pos = o.p WHERE o.type = 'end_repeat' AND o.b = 1),
+g AS (SELECT form, string_agg(CAST(n AS VARCHAR), ';' ORDER BY pos) AS regions FROM r GROUP BY 1)
+SELECT d.form, count(*) FILTER (WHERE type IN ('select_multiple x', 'integer')) AS questions, count(*) FILTER (WHERE type = 'select_multiple x') AS select_multiple, count(*) FILTER (WHERE type = 'image') AS media,
+count(*) FILTER (WHERE type = 'begin_repeat') AS repeats, CAST(max(depth) AS BIGINT) AS max_depth, coalesce(any_value(g.regions), '') AS regions FROM d LEFT JOIN g ON g.form = d.form GROUP BY 1""")
+def form_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    kind = F.col("event_type")
+    named = F.when(kind == "signup", "begin_repeat").when(kind == "error", "end_repeat").when(kind == "click", "select_multiple x").when(kind == "view", "integer").otherwise("image")
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").where("event_id % 40 < 12").select(F.col("user_id").alias("form"), F.row_number().over(order).alias("pos"), named.alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("relevant", "constraint", "choice_filter")])
+    found = forms.form_features(rows)
+    return found.select("form", "questions", "select_multiple", "media", "repeats", "max_depth", F.array_join(F.transform("regions", lambda n: n.cast("string")), ";").alias("regions"))
+
+
 # --- jobs and sequences ------------------------------------------------------------------------------------------
 
 
