@@ -202,15 +202,34 @@ def _expected(blocks: Blocks, pieces: list[str], held) -> np.ndarray:
     """The expected count of each piece over the words that teach, under the lattice that `held` broadcasts."""
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(pieces))
         for of_bucket in _bucket_rows(batches):
             total = [(w.decode("utf-8"), n) for w, n in sorted(_totals(of_bucket).items()) if n]
-            counts = held.value.expect([w for w, _ in total], np.array([n for _, n in total], np.int64))
-            some = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
+            counts += held.value.expect([w for w, _ in total], np.array([n for _, n in total], np.int64))
+        yield from _slices(counts)
 
-    found = blocks.by_bucket(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # the vocabulary's size at most
-    expected = {r["piece"]: r["n"] for r in found}
-    return np.array([expected.get(i, 0.0) for i in range(len(pieces))])
+    return _summed(blocks.by_bucket(expect, "slice int, payload binary"), len(pieces))
+
+
+def _slices(counts: np.ndarray, size: int = 256) -> Iterator[pa.RecordBatch]:
+    """A task's counts, some `size` numbers to a row, so that what tasks send on is a few rows each."""
+    starts = [at for at in range(0, len(counts), size) if counts[at : at + size].any()]
+    if starts:
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([counts[at : at + size].astype(np.float64).tobytes() for at in starts], pa.binary())], ["slice", "payload"])
+
+
+def _summed(slices: DataFrame, size: int) -> np.ndarray:
+    """The sum of all tasks' counts; what reaches the driver has the vocabulary's size."""
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float64) for x in rows.column("payload"))
+        return pa.table({"slice": pa.array([rows.column("slice")[0].as_py()], pa.int32()), "payload": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros(size)
+    for row in slices.groupBy("slice").applyInArrow(add, "slice int, payload binary").collect():
+        part = np.frombuffer(row["payload"], np.float64)
+        out[row["slice"] : row["slice"] + len(part)] = part
+    return out
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str = "doc_id", text_col: str = "text", smoothing: float = 0.1, rounds: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -229,24 +248,22 @@ def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str =
     pieces = vocabulary(vocabulary_path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Tokens (piece -1), distinct words (-2) and pieces of the words that teach."""
+        """Of the words that teach: how often each piece is in them, then how many words there are and how many distinct."""
         sp = _processor(vocabulary_path)
+        counts = np.zeros(len(pieces) + 2)
         for of_bucket in _bucket_rows(batches):
             total = [(w, n) for w, n in _totals(of_bucket).items() if n]
-            counts = np.zeros(len(pieces), np.int64)
             for at in range(0, len(total), 10_000):
                 some = total[at : at + 10_000]
-                for ids, (_, n) in zip(sp.encode([w.decode("utf-8") for w, _ in some], num_threads=1), some, strict=True):
-                    for i in ids:
-                        counts[i] += n
-            found = np.flatnonzero(counts)
-            keys, values = [-1, -2, *found.tolist()], [sum(n for _, n in total), len(total), *counts[found].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(values, pa.int64())], ["piece", "n"])
-
-    learnt = {r["piece"]: r["n"] for r in blocks.by_bucket(count, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size at most
-    tokens = learnt.get(-1, 0) + ends
-    distinct = learnt.get(-2, 0) + (ends > 0)
-    counts = np.array([learnt.get(i, 0) if p else 0 for i, p in enumerate(pieces)], float)
+                ids = sp.encode([w.decode("utf-8") for w, _ in some], num_threads=1)
+                own = np.repeat([n for _, n in some], [len(i) for i in ids])
+                counts[:-2] += np.bincount([i for word in ids for i in word], own, len(pieces))
+            counts[-2:] += sum(n for _, n in total), len(total)
+        yield from _slices(counts)
+
+    learnt = _summed(blocks.by_bucket(count, "slice int, payload binary"), len(pieces) + 2)
+    tokens, distinct = int(learnt[-2]) + ends, int(learnt[-1]) + (ends > 0)
+    counts = np.where([bool(p) for p in pieces], learnt[:-2], 0.0)
     lattice = Lattice(pieces, counts, ends, smoothing)
     for _ in range(rounds if tokens else 0):
         counts = _expected(blocks, pieces, spark.sparkContext.broadcast(lattice))
