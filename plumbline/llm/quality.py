@@ -36,8 +36,9 @@ def llr_table(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     ids = trusted.select(F.col("doc_id").alias("__trusted")).where("__trusted is not null").distinct()
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    words = docs.select(F.col(id_col).alias("__id"), _words(F.col(text_col)).alias("__words"))
-    flagged = words.join(ids, F.col("__id") == F.col("__trusted"), "left").select("__words", F.col("__trusted").isNotNull().cast("long").alias("__good"))
+    # Words come after the join, so that beyond the broadcast no more than the texts is shuffled.
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(ids, F.col("__id") == F.col("__trusted"), "left")
+    flagged = rows.select(_words(F.col("__text")).alias("__words"), F.col("__trusted").isNotNull().cast("long").alias("__good"))
     counts = (
         flagged.select("__good", F.explode(_ngrams(F.col("__words"), buckets)).alias("__bucket"))
         .groupBy("__bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("__good").alias("good"))
