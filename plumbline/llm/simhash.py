@@ -170,7 +170,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = connected_components(fingerprint_links(nodes.select("fp"), radius))
     classes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
+    # Written down, so that a large class meets its id in a join of two plain shuffles, which Spark can split.
+    least = durable(classes.groupBy("label").agg(F.min("least").alias("component_id")))
     of_fp = classes.select("fp", "label").join(least, "label").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marked.join(of_fp, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
