@@ -397,7 +397,7 @@ def form_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     named = F.when(kind == "signup", "begin_repeat").when(kind == "error", "end_repeat").when(kind == "click", "select_multiple x").when(kind == "view", "integer").otherwise("image")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, sf_dir, "events").where("event_id % 40 < 12").select(F.col("user_id").alias("form"), F.row_number().over(order).alias("pos"), named.alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("relevant", "constraint", "choice_filter")])
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("form"), F.row_number().over(order).alias("pos"), named.alias("type"), *[F.lit(None).cast("string").alias(c) for c in ("relevant", "constraint", "choice_filter")])
     found = forms.form_features(rows)
     return found.select("form", "questions", "select_multiple", "media", "repeats", "max_depth", F.array_join(F.transform("regions", lambda n: n.cast("string")), ";").alias("regions"))
 

@@ -51,3 +51,32 @@ def test_a_run_without_its_question_fails(spark):
     runs = spark.createDataFrame([("q9", "x")], "qid string, body string")
     with pytest.raises(Exception, match="no such question: q9"):
         citations.with_question(runs, spark.createDataFrame([("q1", "1")], "qid string, gold string")).collect()
+
+
+def test_the_form_query_reads_every_event(spark, tmp_path):
+    import datetime
+    import random
+
+    from plumbline import queries
+
+    rng = random.Random(5)
+    kinds = ["signup", "error", "click", "view", "purchase"]
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, start + datetime.timedelta(seconds=rng.randint(0, 200)), rng.randint(1, 4), rng.choice(kinds)) for i in range(400)]
+    events += [(1000 + 40 * i + 12, start, 9, "signup") for i in range(3)]  # a user with no event_id % 40 under 12
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id int, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.form: tuple(r)[1:] for r in queries.queries()["form_features"](spark, str(tmp_path)).select("form", "questions", "select_multiple", "media", "repeats", "max_depth", "regions").collect()}
+    want = {}
+    for user in {e[2] for e in events}:
+        depth = deepest = inside = opened = 0
+        regions, n = [], dict.fromkeys(kinds, 0)
+        for _, _, _, kind in sorted((e for e in events if e[2] == user), key=lambda e: (e[1], e[0])):
+            before, n[kind] = depth, n[kind] + 1
+            depth = max(0, depth + {"signup": 1, "error": -1}.get(kind, 0))
+            deepest = max(deepest, depth)
+            inside += kind in ("click", "view") and depth >= 1
+            opened = inside if kind == "signup" else opened
+            if kind == "error" and before == 1:
+                regions.append(str(inside - opened))
+        want[user] = (n["click"] + n["view"], n["click"], n["purchase"], n["signup"], deepest, ";".join(regions))
+    assert got == want
