@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
 
 #: What a page that could not be fetched begins with, and the most characters that are kept of one.
 FAILED, MOST = "__FETCH_FAIL__", 400_000
+#: Most characters of short passages that are broadcast; more of them meet the texts without one.
+BROADCAST = 2_000_000
 
 
 def fetched(urls: DataFrame, fetch: Callable[[str], str], column: str = "url") -> DataFrame:
@@ -67,3 +69,35 @@ def digest(features: DataFrame, *order: str) -> DataFrame:
     title = F.concat_ws(" / ", *[F.col(c).cast("string") for c in order])
     auto = F.format_string("auto: gold_num=%s cites=%s ask=%s nodata=%s", shown("gold_num_present"), shown("n_citations"), shown("askback_hint"), shown("nodata_hint"))
     return features.orderBy(*order).select(F.concat(F.lit("### "), title, F.lit("\n"), auto, F.lit("\n"), F.col("ending")).alias("entry"))
+
+
+def _triples(words: Column) -> Column:
+    """(size, key) of every three words in a row."""
+    starts = F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.transform(starts, lambda w, i: F.struct(
+        (F.length(w) + F.length(F.get(words, i + 1)) + F.length(F.get(words, i + 2))).alias("size"), F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("key")
+    ))
+
+
+def containing(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
+    """(doc_id, item_id): each row of docs with each row of items whose whole text it contains; every text contains the empty one.
+
+    A passage's first and last word may go on in the document, the words between them cannot. Passages with three of
+    these or more are looked up by the longest three in a row; shorter ones are compared with every document. Repeated
+    rows and null ids count as in a join; a null text contains nothing and is in nothing.
+    """
+    split = lambda c: F.split(c, r"\s+", -1)
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
+    passages = items.select(F.col(text).alias("passage")).where("passage is not null").distinct().withColumn("words", split(F.col("passage")))
+    passages = passages.select("passage", F.slice("words", 2, F.greatest(F.size("words") - 2, F.lit(0))).alias("words"))
+    short = passages.where(F.size("words") < 3).select("passage")
+    long = passages.where(F.size("words") >= 3).select("passage", F.array_max(_triples(F.col("words")))["key"].alias("key"))
+    # Ids alone go through the join on keys; the texts are looked at only where a key is shared.
+    keys = texts.select("doc_id", split(F.col("text")).alias("words")).select("doc_id", F.explode(F.array_distinct(F.transform(_triples(F.col("words")), lambda t: t["key"]))).alias("key"))
+    pairs = keys.join(long, "key").select(F.col("doc_id").alias("id"), "passage").distinct()
+    found = texts.join(pairs, F.col("doc_id").eqNullSafe(F.col("id"))).where(F.contains("text", "passage")).select("doc_id", "passage")
+    n, size = short.agg(F.count(F.lit(1)), F.sum(F.length("passage") + 16)).first()
+    if n:
+        few = short.hint("broadcast" if size <= BROADCAST else "shuffle_replicate_nl")
+        found = found.unionByName(texts.join(few, F.contains("text", "passage")).select("doc_id", "passage"))
+    return found.join(items.select(F.col(item_id).alias("item_id"), F.col(text).alias("passage")), "passage").select(F.col("doc_id").alias(doc_id), F.col("item_id").alias(item_id))

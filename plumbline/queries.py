@@ -315,19 +315,8 @@ def gold_number_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 60))")
 def citation_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain the first 60 characters of a benchmark item: the items' patterns are few, the test is theta."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("head"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Every document that contains a head has its second to fourth words in a row: an equi-join on those, of ids only,
-    # leaves the pairs whose texts are looked at.
-    split = lambda c: F.split(c, r"[\s]+")
-    heads = items.withColumn("key", F.concat_ws(" ", F.slice(split(F.col("head")), 2, 3)))
-    words = docs.select("doc_id", split(F.col("text")).alias("w"))
-    rest = lambda k: F.slice("w", k, F.greatest(F.size("w"), F.lit(1)))
-    join = lambda a, b: F.concat_ws(" ", a, b)
-    keys = words.select("doc_id", F.explode(F.array_distinct(F.zip_with(F.zip_with("w", rest(2), join), rest(3), join))).alias("key"))
-    pairs = keys.join(heads, "key").select("doc_id", "item_id", "head").distinct()
-    return docs.join(pairs, "doc_id").where(F.contains("text", "head")).select("doc_id", "item_id")
+    """Documents that contain the whole text of a benchmark item."""
+    return citations.containing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 @_query("SELECT conv_id, conv_id % 4 IN (0, 1) AS asked, conv_id % 4 IN (1, 2) AS no_data, 'case ' || CAST(conv_id AS VARCHAR) AS tail FROM (SELECT DISTINCT conv_id FROM conversations)")

@@ -80,3 +80,30 @@ def test_the_form_query_reads_every_event(spark, tmp_path):
                 regions.append(str(inside - opened))
         want[user] = (n["click"] + n["view"], n["click"], n["purchase"], n["signup"], deepest, ";".join(regions))
     assert got == want
+
+
+def test_documents_that_contain_whole_items(spark, tmp_path, monkeypatch):
+    import random
+    from collections import Counter
+
+    from plumbline import queries
+
+    rng = random.Random(8)
+    words = ["a", "of", "the", "ward", "house", "ünïon", "incomprehensibilities", "x" * 70]
+    prose = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", "  ", "\n", "\t "]) for _ in range(n))
+    docs = [(i, prose(rng.randint(0, 40))) for i in range(150)] + [(0, "the ward of a house"), (None, "of the ward of a house"), (None, "of the ward of a house"), (900, None), (901, ""), (902, " ")]
+    cuts = [t for _, t in docs if t and len(t) > 30]
+    items = []
+    for i in range(120):
+        t = rng.choice(cuts)
+        k = rng.randint(0, len(t) - 3)
+        items.append((i, t[k : k + rng.choice([1, 3, 8, 20, 60, 100, 200])]))
+    long = max(cuts, key=len)
+    items += [(200, long), (201, long[:80] + " other words than the document has"), (202, ""), (203, None), (204, "the ward of a house"), (204, "the ward of a house"), (None, "ward of a hou"), (205, " "), (206, "f the ward of a hou")]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = Counter((d, i) for d, t in docs for i, p in items if t is not None and p is not None and p in t)
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(citations, "BROADCAST", most, raising=False)
+        got = Counter((r.doc_id, r.item_id) for r in queries.queries()["citation_contains"](spark, str(tmp_path)).collect())
+        assert got == want
