@@ -207,3 +207,12 @@ def test_archives_are_warc_records(spark, tmp_path):
         raw = rest[n + 4 :]
     assert collections.Counter(kinds) == {"response": 2, "continuation": 2, "revisit": 1}
     assert bodies["<urn:page:1>"] == b"a" * 500 and bodies["<urn:page:3>"] == b"b" * 120
+
+
+def test_toxicity_learns_from_a_full_sample_of_usable_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'calm'} words number {i}") for i in range(60)] + [(i, "x" * 20_000) for i in range(60, 120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")  # most are of no document or a long one
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, **k: (seen.append((len(texts), int(sum(y)))), train(texts, y, **k))[1])
+    assert toxicity.fit_toxicity(docs, labels, lang_col=None, sample_docs=30) is not None
+    assert seen == [(60, 30)]
