@@ -144,7 +144,6 @@ def test_packing_of_odd_texts(odd, nothing, size):
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(JSON)
-    reference.encode_special_tokens = True
     rows = packing.pack_documents(odd, JSON, files.PATTERN, size=size).collect()
     want = []
     for i, text in ODD:
@@ -159,6 +158,30 @@ def test_packing_of_odd_texts(odd, nothing, size):
     assert packing.pack_documents(nothing, JSON, files.PATTERN).count() == 0
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", "a", " ", "  b", "\n", "é", "<|"]), max_size=8).map("".join))
+def test_added_tokens_are_found_as_the_library_finds_them(text):
+    from tokenizers import Tokenizer
+
+    ordinary = bpe.encoding(packing.read_byte_level(JSON), files.PATTERN).encode_ordinary
+    ids = [i for part, token in packing.added_splitter(packing.read_added(JSON))(text) for i in (ordinary(part) if token is None else [token])]
+    assert ids == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}])
+def test_flags_of_added_tokens(flags):
+    from tokenizers import AddedToken, Tokenizer
+
+    other = Tokenizer.from_file(JSON)
+    other.add_special_tokens([AddedToken("<x>", normalized=False, **flags), AddedToken("<x>y", normalized=False)])
+    added = [{"id": i, "content": t.content, "lstrip": t.lstrip, "rstrip": t.rstrip, "single_word": t.single_word} for i, t in other.get_added_tokens_decoder().items()]
+    ordinary = bpe.encoding(packing.read_byte_level(JSON), files.PATTERN).encode_ordinary
+    split = packing.added_splitter(added)
+    for text in ("a <x> b", "a<x>b", "<x>", " <x>  <x> ", "<x>y z", "q <x>.<|endoftext|>"):
+        ids = [i for part, token in split(text) for i in (ordinary(part) if token is None else [token])]
+        assert ids == other.encode(text, add_special_tokens=False).ids, text
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
 def test_plan_fills_slots_without_gaps_and_as_best_fit_would(histogram):
