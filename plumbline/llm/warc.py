@@ -13,7 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpoint_dir, durable
@@ -49,37 +49,57 @@ def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     )
 
 
-def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, unique_ids: bool = False) -> DataFrame:
-    """The records as rows of record_id, chunk_no (from 1), chunks and chunk; a revisit has one empty chunk.
+def _record_name(page_id: Column, digest: Column) -> Column:
+    """A record's name: its page's id, escaped so that any id comes back whole (~ stands for null), and its digest."""
+    return F.concat(F.coalesce(F.url_encode(page_id.cast("string")), F.lit("~")), F.lit(":"), digest)
+
+
+def repeated_ids(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
+    """(again_id) the ids, null included, that several rows have; written down."""
+    counted = pages.groupBy(F.col(id_col).alias("again_id")).agg(F.count(F.lit(1)).alias("n"))
+    return durable(counted.where("n > 1").select("again_id"))
 
-    record_id is the decimal page_id, with a suffix for repeated rows unless unique_ids says that there are none, so
-    that every row of the input is one record.
+
+def _named(records: DataFrame, again: DataFrame) -> DataFrame:
+    """records with record_id; of rows with one id and one payload, all but the first get a number as well.
+
+    Rows are only moved where ids repeat, and then only those rows.
     """
-    from pyspark.sql import Window
-
-    if not unique_ids:
-        # Rows of one id are told apart by their place in an order over all that they hold.
-        order = Window.partitionBy("page_id").orderBy("payload_digest", "record_type")
-        records = records.withColumn("turn", F.row_number().over(order) - 1)
-    else:
-        records = records.withColumn("turn", F.lit(0))
-    name = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.when(F.col("turn") > 0, F.concat(F.lit("."), F.col("turn"))).otherwise(F.lit("")))
-    body = F.when(F.col("record_type") == "revisit", F.lit("").cast("binary")).otherwise(F.col("payload"))
-    # A cut two bytes into each version mark in the payload; then each piece by size.
-    held = records.withColumn("record_id", name).withColumn("body", body)
-    marks = F.when(F.instr(F.col("body").cast("string"), _MARK) > 0, _cut(F.col("body"))).otherwise(F.array(F.col("body")))
-    spans = F.flatten(F.transform(marks, lambda piece: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(piece) / chunk_bytes).cast("int") - 1, F.lit(0))),
-        lambda k: F.substring(piece, k * chunk_bytes + 1, F.lit(chunk_bytes)),
-    )))
-    cut = held.withColumn("parts", spans)
-    return cut.select("page_id", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", F.size("parts").alias("chunks"), F.posexplode("parts").alias("k", "chunk")).withColumn("chunk_no", F.col("k") + 1).drop("k")
+    named = records.withColumn("record_id", _record_name(F.col("page_id"), F.col("payload_digest")))
+    if again.limit(1).count() == 0:
+        return named
+    same = F.col("page_id").eqNullSafe(F.col("again_id"))
+    turn = F.row_number().over(Window.partitionBy("record_id").orderBy("record_type"))
+    repeated = named.join(again, same, "left_semi").withColumn("turn", turn)
+    suffix = F.when(F.col("turn") > 1, F.concat(F.lit(":"), F.col("turn"))).otherwise(F.lit(""))
+    return named.join(again, same, "left_anti").unionByName(repeated.withColumn("record_id", F.concat("record_id", suffix)).drop("turn"))
 
 
-def _cut(body: Column) -> Column:
-    """body in pieces, cut inside each version mark: whatever stands around a piece, no record seems to begin in it."""
-    texts = F.split(F.decode(body, "ISO-8859-1"), f"(?<={_MARK[:2]})(?={_MARK[2:]})", -1)
-    return F.transform(texts, lambda t: F.encode(t, "ISO-8859-1"))
+def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, again: DataFrame | None = None) -> DataFrame:
+    """The records as rows of record_id, chunk_no (from 1), chunks and chunk; a revisit has one empty chunk.
+
+    again: the repeated_ids of the records, if they are known.
+
+    First the places of the chunks become rows, then each row takes its part of the payload, so that beside the
+    payload's own column a task holds one chunk. Every row of the input is one record.
+    """
+    revisit = F.col("record_type") == "revisit"
+    size = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("int")
+    # Where a payload has version marks, pieces end two bytes into each of them; only their lengths are kept.
+    text = F.decode(F.col("payload"), "ISO-8859-1")
+    lengths = F.transform(F.split(text, f"(?<={_MARK[:2]})(?={_MARK[2:]})", -1), lambda piece: F.length(piece))
+    marked = ~revisit & (F.instr(F.col("payload").cast("string"), _MARK) > 0)
+    pieces = F.when(marked, lengths).otherwise(F.array(size))
+    # (first byte, length) of every chunk: each piece by size, one empty chunk for nothing.
+    begins = F.transform(pieces, lambda n, i: F.struct(F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + x).alias("at"), n.alias("n")))
+    spans = F.flatten(F.transform(F.when(marked, begins).otherwise(F.array(F.struct(F.lit(0).alias("at"), size.alias("n")))), lambda p: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil(p["n"] / chunk_bytes).cast("int") - 1, F.lit(0))),
+        lambda k: F.struct((p["at"] + k * chunk_bytes).alias("at"), F.least(F.lit(chunk_bytes), p["n"] - k * chunk_bytes).alias("n")),
+    )))
+    placed = _named(records, repeated_ids(records) if again is None else again).select("page_id", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", spans.alias("spans"))
+    rows = placed.select("*", F.size("spans").alias("chunks"), F.posexplode("spans").alias("k", "span"))
+    chunk = F.substring("payload", F.col("span.at") + 1, F.col("span.n"))
+    return rows.select("page_id", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "chunks", chunk.alias("chunk"), (F.col("k") + 1).alias("chunk_no"))
 
 
 def write_archives(chunks: DataFrame, path: str) -> None:
@@ -92,7 +112,7 @@ def write_archives(chunks: DataFrame, path: str) -> None:
     header = F.concat(
         F.lit(VERSION), line("WARC-Type", kind), line("WARC-Record-ID", urn(own)), line("WARC-Date", F.lit("1970-01-01T00:00:00Z")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("payload_digest"))),
-        some(F.col("refers_to").isNotNull(), line("WARC-Refers-To", urn(F.coalesce(F.col("refers_to").cast("string"), F.lit(""))))),
+        some(F.col("refers_to").isNotNull(), line("WARC-Refers-To", urn(_record_name(F.col("refers_to"), F.col("payload_digest"))))),
         some(F.col("record_type") == "revisit", line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         some(F.col("chunk_no") > 1, line("WARC-Segment-Origin-ID", urn(F.col("record_id")))),
         some(F.col("chunks") > 1, line("WARC-Segment-Number", F.col("chunk_no"))),
@@ -168,14 +188,17 @@ def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id", pay
     """Write pages to WARC files under path, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A revisit has no block; its size and digest are those of the response that it refers to, and the read fails if the
-    digest in any header differs from that of the payload.
+    digest in any header differs from that of the payload. Ids of any type and with any characters come back, null ids
+    too; rows that repeat an id are records of their own, whatever their payloads. Null payloads are empty ones. Very
+    long payloads become several records of at most chunk_bytes. An empty table gives no rows; other columns are ignored,
+    whatever their names.
     """
     spark = pages.sparkSession
-    repeated = pages.groupBy(id_col).count().where("count > 1").limit(1).count()
-    write_archives(chunk_rows(record_types(pages, id_col, payload_col), chunk_bytes, unique_ids=not repeated), path)
+    write_archives(chunk_rows(record_types(pages, id_col, payload_col), chunk_bytes, repeated_ids(pages, id_col)), path)
     records = durable(payload_digests(read_archives(spark, path)))
     kind = pages.schema[id_col].dataType
-    as_id = lambda c: F.nullif(F.regexp_extract(c, "^([^.]*)", 1), F.lit("null")).cast(kind)
+    own = lambda c: F.regexp_extract(c, "^([^:]*)", 1)
+    as_id = lambda c: F.when(own(c) != "~", F.url_decode(own(c))).cast(kind)
     responses = records.where("record_type = 'response'").select(F.col("record_id").alias("to_id"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"))
     joined = records.join(responses, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("to_id")), "left")
     digest = F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.col("payload_digest"))

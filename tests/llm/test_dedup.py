@@ -71,6 +71,24 @@ def test_components_of_a_long_path(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["shuffled", "folded"])
+def test_rounds_grow_with_the_logarithm_of_a_path(spark, monkeypatch, kind):
+    import random
+
+    from plumbline.llm import components
+
+    n = 3000
+    order = list(range(n))
+    random.Random(4).shuffle(order)
+    if kind == "folded":
+        order = [i // 2 if i % 2 == 0 else n - 1 - i // 2 for i in range(n)]
+    edges = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a long, b long")
+    made, durable = [], components.durable
+    monkeypatch.setattr(components, "durable", lambda df: made.append(1) or durable(df))
+    assert {r.label for r in components.connected_components(edges).collect()} == {0}
+    assert len(made) - 2 <= 14  # log2(3000) is 11.6
+
+
 def test_near_groups_of_odd_texts(spark, odd, nothing):
     from tests.llm.conftest import ODD
 

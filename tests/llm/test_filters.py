@@ -191,6 +191,31 @@ def test_archives_round_trip(spark, tmp_path, chunk_bytes):
     assert empty.count() == 0
 
 
+def test_archives_of_repeated_and_odd_ids(spark, tmp_path):
+    a, b = "a" * 200, "b" * 300
+    rows = [("3", a), ("3", b), ("5", a), ("5", "tiny"), ("a.x", b), ("a:y/ z~é%", a), ("~", "x"), ("null", "y"), ("", "z"), (None, a), (None, "w"), (None, "w"), ("3", b)]
+    pages = spark.createDataFrame(rows, "page_id string, html string").repartition(3)
+    got = collections.Counter(map(tuple, warc.archive_round_trip(pages, str(tmp_path / "w")).collect()))
+    want = collections.Counter()
+    for i, t in rows:
+        first = min(j for j, u in rows if u == t and j is not None) if len(t) >= 100 else i
+        sha = hashlib.sha256(t.encode()).hexdigest()
+        want[i, len(t), sha, "response" if i == first else "revisit", None if i == first else first] += 1
+    assert got == want
+
+
+def test_archives_of_a_long_payload_in_default_chunks(spark, tmp_path):
+    long = "".join(f"<p>{i} é WARC/1.1\r\n</p>" if i % 9000 == 0 else f"<p>{i}</p>" for i in range(120_000))
+    pages = spark.createDataFrame([(1, long), (2, long), (3, "x" * (1 << 18)), (4, "x" * ((1 << 18) + 1))], "page_id long, html string")
+    chunks = warc.chunk_rows(warc.record_types(pages)).collect()
+    assert len([c for c in chunks if c.page_id == 1]) > 14 and len([c for c in chunks if c.page_id == 2]) == 1
+    assert [len([c for c in chunks if c.page_id == i]) for i in (3, 4)] == [1, 2] and max(len(c.chunk) for c in chunks) == 1 << 18
+    rows = {r.page_id: r for r in warc.archive_round_trip(pages, str(tmp_path / "w")).collect()}
+    raw = long.encode()
+    assert tuple(rows[1])[1:] == (len(raw), hashlib.sha256(raw).hexdigest(), "response", None)
+    assert tuple(rows[2])[1:] == (len(raw), hashlib.sha256(raw).hexdigest(), "revisit", 1)
+
+
 def test_archives_are_warc_records(spark, tmp_path):
     pages = spark.createDataFrame([(1, "a" * 500), (2, "a" * 500), (3, "b" * 120)], "page_id long, html string").coalesce(1)
     warc.write_archives(warc.chunk_rows(warc.record_types(pages), 200), str(tmp_path / "w"))
@@ -206,7 +231,8 @@ def test_archives_are_warc_records(spark, tmp_path):
         assert rest[n : n + 4] == b"\r\n\r\n"
         raw = rest[n + 4 :]
     assert collections.Counter(kinds) == {"response": 2, "continuation": 2, "revisit": 1}
-    assert bodies["<urn:page:1>"] == b"a" * 500 and bodies["<urn:page:3>"] == b"b" * 120
+    name = lambda i, raw: f"<urn:page:{i}:{hashlib.sha256(raw).hexdigest()}>"
+    assert bodies[name(1, b"a" * 500)] == b"a" * 500 and bodies[name(3, b"b" * 120)] == b"b" * 120
 
 
 def test_toxicity_learns_from_a_full_sample_of_usable_texts(spark, monkeypatch):
