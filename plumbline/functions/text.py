@@ -1,6 +1,6 @@
 """Column expressions over text: canonical cells, tokens, links, numbers, slugs, hints, lines of CSV, Markdown.
 
-All but the two pandas UDFs at the end are plain Spark SQL expressions. White space and digits are ASCII in them.
+All but the pandas UDF at the end are plain Spark SQL expressions. White space and digits are ASCII in them.
 """
 
 from __future__ import annotations
@@ -70,6 +70,32 @@ def gold_hit(gold: Column, text: Column, fixed: bool = False) -> Column:
     return F.when(F.size(wanted) == 0, F.lit(None).cast("boolean")).otherwise(F.arrays_overlap(wanted, numbers(text, fixed)))
 
 
+def all_urls(*texts: Column) -> Column:
+    """The different links of several texts, in order of appearance."""
+    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(URL), F.lit(0)) for c in texts])))
+
+
+def form_id(c: Column) -> Column:
+    """The first form id in a text, null if it has none."""
+    return F.nullif(F.regexp_extract(c, FORM_ID, 0), F.lit(""))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with {name} in it, as text; a null value becomes the empty text, {{ and }} are braces."""
+    import string
+
+    parts = []
+    for literal, name, _, _ in string.Formatter().parse(template):
+        parts += [F.lit(literal)] if literal else []
+        parts += [F.coalesce(values[name].cast("string"), F.lit(""))] if name is not None else []
+    return F.concat(*parts) if parts else F.lit("")
+
+
+def field_of_each(c: Column, field: str) -> Column:
+    """A map of structs as a map of one of their fields."""
+    return F.transform_values(c, lambda _, v: v[field])
+
+
 def slug(c: Column) -> Column:
     """Lower-case words joined by underscores; "field" if none are left."""
     s = F.btrim(F.regexp_replace(F.lower(F.btrim(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", "_"), F.lit("_"))
@@ -150,32 +176,3 @@ def _norm_value(value: object) -> str:
 def norm_unicode(cells: pd.Series) -> pd.Series:
     """norm with Unicode normalisation and case folding, which Spark SQL has no function for."""
     return cells.map(_norm_value, na_action=None)
-
-
-def snap_to(options: list[str], cutoff: float = 0.78, lead: float = 0.08):
-    """A pandas UDF: the option that a text nearly spells, null if none does or two do about equally well.
-
-    Only texts and options of four characters or more, compared in canonical form.
-    """
-    import difflib
-
-    forms: dict[str, str] = {}
-    for option in options:
-        if len(form := _norm_value(option)) >= 4:
-            forms.setdefault(form, option)
-
-    def snap(text: object) -> str | None:
-        form = _norm_value(text)
-        close = difflib.get_close_matches(form, list(forms), n=2, cutoff=cutoff) if len(form) >= 4 and forms else []
-        if len(close) == 2:
-            near, next_near = (difflib.SequenceMatcher(None, form, c).ratio() for c in close)
-            if near - next_near <= lead:
-                return None
-        return forms[close[0]] if close else None
-
-    @F.pandas_udf(StringType())
-    def snapped(texts: pd.Series) -> pd.Series:
-        known = {t: snap(t) for t in texts.unique()}
-        return texts.map(known)
-
-    return snapped

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,21 +11,29 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
 
-#: What a page that could not be fetched begins with, and the most characters that are kept of one.
+#: What a page that could not be fetched begins with, and the most bytes that are kept of one.
 FAILED, MOST = "__FETCH_FAIL__", 400_000
 #: Most characters of short passages that are broadcast; more of them meet the texts without one.
 BROADCAST = 2_000_000
 
 
-def fetched(urls: DataFrame, fetch: Callable[[str], str], column: str = "url") -> DataFrame:
-    """(url, body) of the distinct links; fetch runs in the tasks, and what it raises becomes a failed body."""
+def fetched(urls: DataFrame, fetch: Callable[[str], str], column: str = "url", retries: int = 0, wait: float = 2.0) -> DataFrame:
+    """(url, body) of the distinct links; fetch runs in the tasks, and what it raises becomes a failed body.
+
+    A call that fails is made again up to `retries` times, after wait, 2 x wait, ... seconds. A task that is run again
+    fetches again, so fetch must bear that; a model is called in the same way, with its prompt as the url.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def body(url: str) -> str:
-            try:
-                return fetch(url)[:MOST]
-            except Exception as e:  # noqa: BLE001  any failure is a result here
-                return f"{FAILED} {e}"
+            for attempt in range(retries + 1):
+                try:
+                    return fetch(url).encode("utf-8", "replace")[:MOST].decode("utf-8", "ignore")
+                except Exception as e:  # noqa: BLE001  any failure is a result here
+                    failure = e
+                    if attempt < retries:
+                        time.sleep(wait * (attempt + 1))
+            return f"{FAILED} {failure}"
 
         for batch in batches:
             yield pd.DataFrame({"url": batch["url"], "body": [body(u) for u in batch["url"]]})
@@ -32,6 +41,12 @@ def fetched(urls: DataFrame, fetch: Callable[[str], str], column: str = "url") -
     return urls.select(F.col(column).alias("url")).where("url is not null").distinct().mapInPandas(run, "url string, body string")
 
 
+def replayed(requests: DataFrame, recorded: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
+    """requests with the recorded answer of each, and `error` where there is none; nothing is called."""
+    joined = requests.join(recorded.select(*keys, answer), keys, "left")
+    return joined.withColumn("error", F.when(F.col(answer).isNull(), "not recorded"))
+
+
 def with_question(runs: DataFrame, bank: DataFrame, key: str = "qid") -> DataFrame:
     """runs with the columns of their question; fails, as it runs, on a run whose question the bank lacks."""
     known = bank.withColumn("__known", F.lit(True))

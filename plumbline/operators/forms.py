@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators.rules import layout_class
+from plumbline.operators.rules import layout_class, layout_reasons
 from plumbline.operators.sequences import nesting
 
 # Kinds of questions, of media, and the column type that each simple question becomes.
 QUESTIONS = ("select", "text", "integer", "decimal", "date", "datetime", "time")
-MEDIA = ("image", "audio", "video", "geopoint", "geotrace", "geoshape")
+MEDIA = ("image", "audio", "video", "geopoint", "geotrace", "geoshape", "file", "barcode")
 COLUMN_TYPES = {"text": "text", "integer": "int", "decimal": "dec", "date": "date", "datetime": "date", "time": "text"}
 YES_NO = ("yes", "no", "y", "n")
 
@@ -26,7 +26,7 @@ def _filled(c: str) -> Column:
 
 
 def form_features(rows: DataFrame) -> DataFrame:
-    """One row per form: questions, select_one, select_multiple, media, skip_logic, constraints, cascading, repeats, max_depth, regions, class.
+    """One row per form: questions, select_one, select_multiple, media, skip_logic, constraints, cascading, repeats, max_depth, regions, class, reasons.
 
     rows: form, pos, type, relevant, constraint, choice_filter. regions: for each repeat that closes at depth one, the
     questions since the last begin, so those of an outer repeat before a nested one do not count.
@@ -48,7 +48,33 @@ def form_features(rows: DataFrame) -> DataFrame:
         F.count_if(begin).alias("repeats"), F.max("depth").alias("max_depth"), F.sort_array(F.collect_list(region)).alias("__regions"),
     )
     found = found.withColumn("regions", F.transform("__regions", lambda r: r["n"])).drop("__regions")
-    return found.withColumn("class", layout_class(F.col("questions"), F.col("media"), F.col("max_depth"), F.col("regions")))
+    shape = [F.col(c) for c in ("questions", "media", "max_depth", "regions")]
+    return found.withColumn("class", layout_class(*shape)).withColumn("reasons", layout_reasons(*shape, F.col("cascading")))
+
+
+def header_names(sheets: DataFrame, key: str = "path", fields: str = "fields") -> DataFrame:
+    """(key, name): the names that any row of a sheet has, once each; rows hold a map from name to value."""
+    return sheets.select(key, F.explode(F.map_keys(fields)).alias("name")).distinct()
+
+
+def languages(names: DataFrame, key: str = "path") -> DataFrame:
+    """(key, languages): how many headers of a form are labels in a language of their own (label::...)."""
+    return names.groupBy(key).agg(F.count_if(F.col("name").startswith("label::")).alias("languages"))
+
+
+def with_form_id(slugs: DataFrame, ids: DataFrame, slug: str = "slug") -> DataFrame:
+    """slugs with the form id that the list gives each; those without one go."""
+    return slugs.join(ids.select(slug, "form_id").distinct(), slug)
+
+
+def by_column_type(scores: DataFrame, columns: DataFrame) -> DataFrame:
+    """(type, columns, cell_acc): the mean cell accuracy of each type of template column, over columns that hold anything.
+
+    scores: form, col, filled, cell_acc; columns: form, label, type. Scores of labels that no template column has, and
+    columns without a score, count for nothing.
+    """
+    joined = columns.join(scores.where("filled > 0").withColumnRenamed("col", "label"), ["form", "label"])
+    return joined.groupBy("type").agg(F.count(F.lit(1)).alias("columns"), F.round(F.avg("cell_acc"), 4).alias("cell_acc"))
 
 
 def choice_lists(choices: DataFrame, most: int = 8) -> DataFrame:

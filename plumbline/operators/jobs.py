@@ -39,16 +39,32 @@ def with_prior(jobs: DataFrame, prior: DataFrame, keys: list[str], value: str) -
 
 
 def first_seen(rows: DataFrame, name: Column, *order: str) -> DataFrame:
-    """Of rows with equal names the first in order."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(name).orderBy(*order))).where("__n = 1").drop("__n")
+    """Of rows with equal names the first in order; only the best row so far of each name leaves a task."""
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    best = rows.groupBy(name.alias("__name")).agg(F.min_by(whole, F.struct(*[F.col(c) for c in order])).alias("__row"))
+    return best.select("__row.*")
 
 
 def top_per_group(rows: DataFrame, group: str, n: int, total: int, *order: str) -> DataFrame:
-    """At most n rows of each group and then at most `total` of all, both in order."""
+    """At most n rows of each group and then at most `total` of all, both in order.
+
+    Spark cuts each task's rows to n of a group before the shuffle, as the rank is compared with a constant.
+    """
     kept = rows.withColumn("__n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
     return kept.orderBy(*order).limit(total)
 
 
+def newest_first(rows: DataFrame, created: str, *ties: str, most: int | None = None) -> DataFrame:
+    """rows by descending time, a missing one counting as 0, at most `most` of them."""
+    ordered = rows.orderBy(F.coalesce(F.col(created), F.lit(0)).desc(), *ties)
+    return ordered if most is None else ordered.limit(most)
+
+
+def acceptable(name: Column, size: Column, suffix: str, low: int = 5_000, high: int = 2_000_000) -> Column:
+    """Whether a file has the suffix, is no lock file of an editor (~$...) and has a size in the band, ends included."""
+    return F.coalesce(size.between(low, high) & F.lower(name).endswith(suffix) & ~name.startswith("~$"), F.lit(False))
+
+
 def balanced_sample(rows: DataFrame, kind: str, n: int, key: str, seed: int = 0) -> DataFrame:
     """n rows of each kind in an order by hash, the same at every run."""
     order = Window.partitionBy(kind).orderBy(F.xxhash64(key, F.lit(seed)), key)

@@ -21,11 +21,41 @@ def run_report(rows: DataFrame, key: str, metric: str, verdict: str, bucket: str
     )
 
 
+def run_summary(rows: DataFrame, metrics: list[str], verdict: str = "verdict", latency: str | None = None) -> DataFrame:
+    """One row: n, n_error, the mean of each metric over rows without error, verdicts (of all rows), mean latency.
+
+    verdicts: a map from verdict to number of rows, those without one under "?". Latencies that are 0 or missing are left
+    out. An empty table has n 0, an empty map and null means.
+    """
+    good = F.col("error").isNull()
+    timed = F.avg(F.when(F.col(latency) > 0, F.col(latency))) if latency else F.lit(None).cast("double")
+    means = [F.round(F.avg(F.when(good, F.col(m))), 4).alias(m) for m in metrics]
+    whole = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~good).alias("n_error"), *means, F.round(timed, 4).alias("mean_latency"))
+    each = rows.groupBy(F.coalesce(verdict, F.lit("?")).alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    counted = each.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "c")))).alias("verdicts"))  # one entry a verdict
+    return whole.crossJoin(F.broadcast(counted)).select("n", "n_error", *metrics, "verdicts", "mean_latency")
+
+
+def iqr_cut(rows: DataFrame, group: str, value: str, factor: float = 3.0, slack: float = 4.0) -> DataFrame:
+    """rows whose value is under the group's median + factor x (interquartile range + slack); exact percentiles."""
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    limits = rows.groupBy(F.col(group).alias("__g")).agg(q.alias("__q")).select("__g", (F.col("__q")[1] + factor * (F.col("__q")[2] - F.col("__q")[0] + slack)).alias("__limit"))
+    return rows.join(limits, F.col(group).eqNullSafe(F.col("__g"))).where(F.col(value) < F.col("__limit")).drop("__g", "__limit")
+
+
 def means_with_all(rows: DataFrame, keys: list[str], kind: str, kinds: list[str], ok: str) -> DataFrame:
-    """One row per keys: the mean of ok for each kind in columns, and ALL; null where there is nothing."""
-    each = rows.groupBy(*keys).pivot(kind, kinds).agg(F.round(F.avg(F.col(ok).cast("double")), 4))
-    every = rows.groupBy(*keys).agg(F.round(F.avg(F.col(ok).cast("double")), 4).alias("ALL"))
-    return each.join(every, keys)
+    """One row per keys: the mean of ok for each kind in columns, and ALL; null where there is nothing. One scan."""
+    mean = lambda c: F.round(F.avg(c), 4)
+    value = F.col(ok).cast("double")
+    return rows.groupBy(*keys).agg(*[mean(F.when(F.col(kind) == k, value)).alias(k) for k in kinds], mean(value).alias("ALL"))
+
+
+def fixed_width(rows: DataFrame, **widths: int) -> DataFrame:
+    """(line): the named columns as text, each padded or cut to its width; numbers to the right, all else to the left."""
+    kinds = dict(rows.dtypes)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    cell = lambda c, n: F.lpad(text(c), n, " ") if kinds[c] in ("int", "bigint", "double", "float") or kinds[c].startswith("decimal") else F.rpad(text(c), n, " ")
+    return rows.select(F.concat_ws(" ", *[cell(c, n) for c, n in widths.items()]).alias("line"))
 
 
 def threshold_sweep(rows: DataFrame, value: str, truth: Column, thresholds: list[float]) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import norm
 
-#: Kinds of flags that a form is judged by.
+# Kinds of flags that a form is judged by, and what speaks against flattening a form.
 FLAGS = ("shape", "serial_mismatch", "domain", "no_ink", "unread_ink", "shift_fixed", "cell_mode", "disagree")
+REASONS = {"nested": "nested repeats", "media": "media/geo-centric", "cascading": "%d cascading selects (domains become context-dependent)", "many": "%d sibling repeat groups", "wide": "repeat has %d columns", "card": "no repeat group — card layout needed", "little": "too little paper-mappable content"}
 #: Share of anchor marks from which cell positions are trusted, and below which a form is rejected.
 TRUST, REJECT = 0.95, 0.5
 
@@ -42,6 +43,11 @@ def agree(first: Column, second: Column) -> Column:
     return F.struct(F.coalesce(F.when(norm(second) != "", second), first).alias("value"), differs.alias("disagree"))
 
 
+def serial_mismatch(value: Column, row: Column) -> Column:
+    """Whether a printed serial number was read as another one; row counts from 0, an unread one mismatches nothing."""
+    return (norm(value) != "") & (norm(value) != (row + 1).cast("string"))
+
+
 def align_to_inked(values: Column, inked: Column) -> Column:
     """The k-th value beside the k-th inked column, only if there are equally many; else null."""
     return F.when(F.size(values) == F.size(inked), F.arrays_zip(inked.alias("col"), values.alias("value")))
@@ -97,6 +103,20 @@ def layout_class(questions: Column, media: Column, depth: Column, regions: Colum
     )
 
 
+def layout_reasons(questions: Column, media: Column, depth: Column, regions: Column, cascading: Column) -> Column:
+    """What speaks against flattening a form, as an array of messages in order, beside the class of layout_class."""
+    usable = F.filter(regions, lambda n: n >= 2)
+    found = layout_class(questions, media, depth, regions)
+    early = (depth >= 2) | (media > F.greatest(F.lit(2), questions / 2))
+    return F.array_compact(F.array(
+        F.when(depth >= 2, REASONS["nested"]), F.when(media > questions / 2, REASONS["media"]),
+        F.when(cascading > 0, F.format_string(REASONS["cascading"], cascading)),
+        F.when(found == "multi_region", F.format_string(REASONS["many"], F.size(usable))),
+        F.when(found == "register_wide", F.format_string(REASONS["wide"], F.get(usable, F.lit(0)))),
+        F.when(found == "card", REASONS["card"]), F.when((found == "not_flattenable") & ~early, REASONS["little"]),
+    ))
+
+
 def template_errors(title: Column, labels: Column, types: Column, rows: Column, orientation: Column, known: tuple[str, ...] = ("serial", "int", "dec", "date", "yn", "choice", "name", "text")) -> Column:
     """What is wrong with a template, as an array of messages; empty if nothing is."""
     blank = lambda c: F.btrim(F.coalesce(c, F.lit(""))) == ""

@@ -1,53 +1,124 @@
-"""Operators over ordered rows: islands, nesting depth, first regions, nearest fill, unique keys."""
+"""Operators over ordered rows: islands, nesting depth, first regions, nearest fill, unique keys.
+
+Each group is ordered by columns that tell its rows apart. Groups of more than `most` rows are cut into blocks along that
+order; a block is summed up in one row, what earlier (or later) blocks hand on is found among these few rows, and blocks
+are finished apart, so that no task has to hold or walk through a whole hot group.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a group from which it is cut into blocks, and rows that are looked at for each cut.
+MOST, _PICKS = 1_000_000, 50
+#: Cuts that are broadcast at most; more of them meet the rows in a join by group.
+_BROADCAST_CUTS = 100_000
+
+
+def blocked(rows: DataFrame, group: str, order: list[str], most: int = MOST) -> DataFrame:
+    """rows with __block: 0, or for groups of more than `most` rows the number of the block along the order.
+
+    Cuts are taken from rows chosen by hash, some for each block; where the order has ties, they stay in one block.
+    """
+    hot = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__sq_n")).where(F.col("__sq_n") > most)
+    parts = F.ceil(F.col("__sq_n") / most).cast("int")
+    cuts = hot.agg(F.count(F.lit(1)).alias("groups"), F.sum(parts).alias("cuts")).first()
+    if not cuts["groups"]:
+        return rows.withColumn("__sq_block", F.lit(0))
+    key = F.struct(*[F.col(c) for c in order])
+    chance = F.least(F.lit(1.0), _PICKS * parts / F.col("__sq_n"))
+    picked = rows.join(hot, group).where(F.pmod(F.xxhash64(group, *order), F.lit(1 << 40)) < chance * (1 << 40))
+    all_ = picked.groupBy(group).agg(F.sort_array(F.collect_list(key)).alias("__sq_all"), F.first(parts).alias("__sq_parts"))  # _PICKS rows a block
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.col("__sq_parts") - 1, F.lit(1))), lambda k: F.get("__sq_all", F.floor(k * F.size("__sq_all") / F.col("__sq_parts")).cast("int")))
+    bounds = all_.select(F.col(group).alias("__sq_group"), at.alias("__sq_bounds"))
+    bounds = F.broadcast(bounds) if cuts["cuts"] <= _BROADCAST_CUTS else bounds
+    placed = rows.join(bounds, F.col(group).eqNullSafe(F.col("__sq_group")), "left")
+    block = F.coalesce(F.size(F.filter("__sq_bounds", lambda b: b <= key)), F.lit(0))
+    return placed.withColumn("__sq_block", F.when(F.col("__sq_bounds").isNull(), 0).otherwise(block)).drop("__sq_group", "__sq_bounds")
+
 
-def islands(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
+def _windows(group: str, order: list[str]) -> tuple:
+    """Windows over the rows of a block, over the blocks before one, and over those after it."""
+    blocks = Window.partitionBy(group).orderBy("__sq_block")
+    return Window.partitionBy(group, "__sq_block").orderBy(*order), blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+
+
+def _with_summary(rows: DataFrame, summary: DataFrame, group: str) -> DataFrame:
+    other = summary.withColumnRenamed(group, "__sq_group").withColumnRenamed("__sq_block", "__sq_of")
+    return rows.join(other, F.col(group).eqNullSafe(F.col("__sq_group")) & (F.col("__sq_block") == F.col("__sq_of")), "left").drop("__sq_group", "__sq_of")
+
+
+def islands(rows: DataFrame, group: str, order: list[str], value: str, most: int = MOST) -> DataFrame:
     """(group, island, value, n, first, last): maximal runs of equal neighbouring values; first and last are order[-1]."""
-    w = Window.partitionBy(group).orderBy(*order)
-    change = F.when(F.lag(value).over(w).eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    numbered = rows.withColumn("__change", change).withColumn("island", F.sum("__change").over(w))
-    key = F.col(order[-1])
-    by = F.struct(*order)
+    cut = blocked(rows, group, order, most)
+    w, before, _ = _windows(group, order)
+    key, by = F.col(order[-1]), F.struct(*order)
+    marked = cut.withColumn("__sq_change", F.when(F.row_number().over(w) == 1, 0).when(F.lag(value).over(w).eqNullSafe(F.col(value)), 0).otherwise(1))
+    ends = marked.groupBy(group, "__sq_block").agg(F.sum("__sq_change").alias("__sq_n"), F.min_by(F.struct(value), by).alias("__sq_head"), F.max_by(F.struct(value), by).alias("__sq_tail"))
+    # A block's first row begins an island unless it goes on with the last value of the block before.
+    previous = F.lag("__sq_tail").over(Window.partitionBy(group).orderBy("__sq_block"))
+    ends = ends.withColumn("__sq_new", F.when(previous.eqNullSafe(F.col("__sq_head")), 0).otherwise(1))
+    handed = ends.withColumn("__sq_base", F.coalesce(F.sum(F.col("__sq_n") + F.col("__sq_new")).over(before), F.lit(0)) + F.col("__sq_new")).select(group, "__sq_block", "__sq_base")
+    numbered = _with_summary(marked.withColumn("__sq_own", F.sum("__sq_change").over(w)), handed, group).withColumn("island", F.col("__sq_base") + F.col("__sq_own"))
     return numbered.groupBy(group, "island").agg(F.first(value).alias(value), F.count(F.lit(1)).alias("n"), F.min_by(key, by).alias("first"), F.max_by(key, by).alias("last"))
 
 
-def nesting(rows: DataFrame, group: str, order: list[str], begin: Column, end: Column) -> DataFrame:
+def nesting(rows: DataFrame, group: str, order: list[str], begin: Column, end: Column, most: int = MOST) -> DataFrame:
     """rows with depth: +1 at each begin, -1 at each end, never under 0.
 
-    The running sum less its lowest value so far (0 at most) is the same as stopping at 0.
+    The running sum less its lowest value so far (0 at most) is the same as stopping at 0; a block hands on its sum and
+    its lowest value.
     """
-    w = Window.partitionBy(group).orderBy(*order)
-    step = F.when(begin, 1).when(end, -1).otherwise(0)
-    summed = rows.withColumn("__sum", F.sum(step).over(w))
-    return summed.withColumn("depth", (F.col("__sum") - F.least(F.lit(0), F.min("__sum").over(w))).cast("long")).drop("__sum")
+    cut = blocked(rows, group, order, most).withColumn("__sq_step", F.when(begin, 1).when(end, -1).otherwise(0))
+    w, before, _ = _windows(group, order)
+    summed = cut.withColumn("__sq_sum", F.sum("__sq_step").over(w)).withColumn("__sq_low", F.min("__sq_sum").over(w))
+    blocks = summed.groupBy(group, "__sq_block").agg(F.sum("__sq_step").alias("__sq_total"), F.min("__sq_low").alias("__sq_lowest"))
+    blocks = blocks.withColumn("__sq_base", F.coalesce(F.sum("__sq_total").over(before), F.lit(0)))
+    blocks = blocks.withColumn("__sq_floor", F.coalesce(F.min(F.col("__sq_base") + F.col("__sq_lowest")).over(before), F.lit(0))).select(group, "__sq_block", "__sq_base", "__sq_floor")
+    lowest = F.least(F.lit(0), F.col("__sq_floor"), F.col("__sq_base") + F.col("__sq_low"))
+    deep = _with_summary(summed, blocks, group).withColumn("depth", (F.col("__sq_base") + F.col("__sq_sum") - lowest).cast("long"))
+    return deep.drop("__sq_block", "__sq_step", "__sq_sum", "__sq_low", "__sq_base", "__sq_floor")
 
 
 def first_region(rows: DataFrame, group: str, order: list[str], begin: Column, end: Column) -> DataFrame:
-    """The rows between the first begin and the first end after it, both left out."""
-    w = Window.partitionBy(group).orderBy(*order)
-    begins = rows.withColumn("__b", F.sum(F.when(begin, 1).otherwise(0)).over(w))
-    ends = begins.withColumn("__e", F.sum(F.when(end & (F.col("__b") > 0), 1).otherwise(0)).over(w))
-    return ends.where((F.col("__b") > 0) & (F.col("__e") == 0) & ~begin).drop("__b", "__e")
+    """The rows between the first begin and the first end after it, both left out; without an end, all after the begin.
+
+    Two partial aggregates find the places, so no group is walked through.
+    """
+    key = F.struct(*[F.col(c) for c in order])
+    same = lambda c: F.col(group).eqNullSafe(F.col(c))
+    begins = rows.where(begin).groupBy(F.col(group).alias("__sq_bg")).agg(F.min(key).alias("__sq_begin"))
+    begun = rows.join(begins, same("__sq_bg")).where(key >= F.col("__sq_begin"))
+    ends = begun.where(end).groupBy(F.col(group).alias("__sq_eg")).agg(F.min(key).alias("__sq_end"))
+    inside = begun.join(ends, same("__sq_eg"), "left").where(F.col("__sq_end").isNull() | (key < F.col("__sq_end")))
+    return inside.where(~F.coalesce(begin, F.lit(False))).select(*rows.columns)
 
 
-def nearest_fill(rows: DataFrame, group: str, order: list[str], value: str, name: str) -> DataFrame:
+def nearest_fill(rows: DataFrame, group: str, order: list[str], value: str, name: str, most: int = MOST) -> DataFrame:
     """rows with `name`: value, or else that of the nearest row that has one (the earlier of two equally near)."""
-    w = Window.partitionBy(group).orderBy(*order)
-    at = rows.withColumn("__at", F.row_number().over(w))
-    known = F.when(F.col(value).isNotNull(), F.struct(F.col("__at"), F.col(value)))
-    back = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = at.withColumn("__back", back).withColumn("__ahead", ahead)
-    nearer = F.col("__ahead").isNotNull() & (F.col("__back").isNull() | (F.col("__ahead.__at") - F.col("__at") < F.col("__at") - F.col("__back.__at")))
-    return both.withColumn(name, F.when(nearer, F.col(f"__ahead.{value}")).otherwise(F.col(f"__back.{value}"))).drop("__at", "__back", "__ahead")
+    cut = blocked(rows, group, order, most)
+    w, before, after = _windows(group, order)
+    local = cut.withColumn("__sq_row", F.row_number().over(w))
+    sizes = local.groupBy(group, "__sq_block").agg(F.count(F.lit(1)).alias("__sq_n"))
+    sizes = sizes.withColumn("__sq_base", F.coalesce(F.sum("__sq_n").over(before), F.lit(0))).select(group, "__sq_block", "__sq_base")
+    at = _with_summary(local, sizes, group).withColumn("__sq_at", F.col("__sq_base") + F.col("__sq_row"))
+    at = at.withColumn("__sq_known", F.when(F.col(value).isNotNull(), F.struct(F.col("__sq_at").alias("at"), F.col(value).alias("value"))))
+    blocks = at.groupBy(group, "__sq_block").agg(F.min("__sq_known").alias("__sq_first"), F.max("__sq_known").alias("__sq_last"))
+    blocks = blocks.withColumn("__sq_earlier", F.max("__sq_last").over(before)).withColumn("__sq_later", F.min("__sq_first").over(after)).select(group, "__sq_block", "__sq_earlier", "__sq_later")
+    both = _with_summary(at, blocks, group)
+    both = both.withColumn("__sq_back", F.coalesce(F.last("__sq_known", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__sq_earlier")))
+    both = both.withColumn("__sq_ahead", F.coalesce(F.first("__sq_known", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("__sq_later")))
+    nearer = F.col("__sq_ahead").isNotNull() & (F.col("__sq_back").isNull() | (F.col("__sq_ahead.at") - F.col("__sq_at") < F.col("__sq_at") - F.col("__sq_back.at")))
+    filled = both.withColumn(name, F.when(nearer, F.col("__sq_ahead.value")).otherwise(F.col("__sq_back.value")))
+    return filled.drop("__sq_block", "__sq_row", "__sq_base", "__sq_at", "__sq_known", "__sq_earlier", "__sq_later", "__sq_back", "__sq_ahead")
 
 
-def unique_keys(rows: DataFrame, key: str, order: list[str], name: str = "key") -> DataFrame:
+def unique_keys(rows: DataFrame, key: str, order: list[str], name: str = "key", most: int = MOST) -> DataFrame:
     """rows with `name`: the key, with an underscore for each earlier row that has the same one."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn(name, F.concat(F.col(key), F.repeat(F.lit("_"), F.row_number().over(w) - 1)))
+    cut = blocked(rows, key, order, most)
+    w, before, _ = _windows(key, order)
+    local = cut.withColumn("__sq_row", F.row_number().over(w))
+    sizes = local.groupBy(key, "__sq_block").agg(F.count(F.lit(1)).alias("__sq_n")).withColumn("__sq_base", F.coalesce(F.sum("__sq_n").over(before), F.lit(0))).select(key, "__sq_block", "__sq_base")
+    numbered = _with_summary(local, sizes, key)
+    return numbered.withColumn(name, F.concat(F.col(key), F.repeat(F.lit("_"), (F.col("__sq_base") + F.col("__sq_row") - 1).cast("int")))).drop("__sq_block", "__sq_row", "__sq_base")

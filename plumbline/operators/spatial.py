@@ -39,49 +39,112 @@ def within_distance(left: DataFrame, right: DataFrame, limit: float, left_xy: tu
     return left.join(spread, close, "left_semi")
 
 
+def within_km_of_edges(points: DataFrame, edges: DataFrame, km: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """The rows of points at `km` kilometres or less from an edge, such as the shore of a lake.
+
+    points: columns `lat` and `lon` in degrees; edges: lat1, lon1, lat2, lon2. The nearest place of an edge is found on a
+    plane about the point, its distance by haversine, so edges should be short beside the earth. Edges are spread over
+    the grid cells that they can reach, and each point looks into its own cell. Rows without coordinates are near nothing;
+    edges across the 180th meridian must be cut there.
+    """
+    step = km / 111.0  # a little more than km, in degrees of latitude
+    p_lat, p_lon = F.col(lat).cast("double"), F.col(lon).cast("double")
+    cell = lambda v: F.floor(v / step).cast("long")
+    ends = edges.select(*[F.col(c).cast("double").alias(f"__{c}") for c in ("lat1", "lon1", "lat2", "lon2")]).dropna().distinct()
+    wide = step / F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("__lat1"), F.abs("__lat2")) + step)))
+    low, high = (lambda a, b: F.least(a, b)), (lambda a, b: F.greatest(a, b))
+    spread = ends.withColumn("__cy", F.explode(F.sequence(cell(low("__lat1", "__lat2") - step), cell(high("__lat1", "__lat2") + step))))
+    spread = spread.withColumn("__cx", F.explode(F.sequence(cell(low("__lon1", "__lon2") - wide), cell(high("__lon1", "__lon2") + wide))))
+    shrink = F.cos(F.radians(p_lat))
+    ax, ay = (F.col("__lon1") - p_lon) * shrink, F.col("__lat1") - p_lat
+    dx, dy = (F.col("__lon2") - F.col("__lon1")) * shrink, F.col("__lat2") - F.col("__lat1")
+    along = F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))
+    n_lat, n_lon = F.col("__lat1") + t * (F.col("__lat2") - F.col("__lat1")), F.col("__lon1") + t * (F.col("__lon2") - F.col("__lon1"))
+    near = (cell(p_lat) == F.col("__cy")) & (cell(p_lon) == F.col("__cx")) & (haversine_km(p_lat, p_lon, n_lat, n_lon) <= km)
+    return points.join(spread, near, "left_semi")
+
+
+def _cross(o: tuple, a: tuple, b: tuple) -> float:
+    return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+
+
 def _hull(points: pd.DataFrame) -> pd.DataFrame:
-    """The convex hull of columns x and y, of equal points the one with the smallest id."""
-    p = points.sort_values(["x", "y", "id"]).drop_duplicates(["x", "y"])
+    """The convex hull of columns x and y, counter-clockwise, of equal points the one with the smallest id.
+
+    Where all points are equal, the two with the smallest ids.
+    """
+    ordered = points.sort_values(["x", "y", "id"])
+    p = ordered.drop_duplicates(["x", "y"])
+    if len(p) == 1:
+        return ordered.drop_duplicates("id").head(2)
     rows = list(p[["x", "y"]].itertuples(index=False, name=None))
 
     def chain(order: range) -> list[int]:
         kept: list[int] = []
         for i in order:
-            while len(kept) > 1:
-                (ax, ay), (bx, by), (cx, cy) = rows[kept[-2]], rows[kept[-1]], rows[i]
-                if (bx - ax) * (cy - ay) - (by - ay) * (cx - ax) > 0:
-                    break
+            while len(kept) > 1 and _cross(rows[kept[-2]], rows[kept[-1]], rows[i]) <= 0:
                 kept.pop()
             kept.append(i)
         return kept
 
     n = len(rows)
-    return p.iloc[sorted({*chain(range(n)), *chain(range(n - 1, -1, -1))})]
+    lower, upper = chain(range(n)), chain(range(n - 1, -1, -1))
+    return p.iloc[[*lower[:-1], *upper[:-1]]]
+
+
+def _farthest(hull: pd.DataFrame) -> tuple[int, int, float]:
+    """The farthest pair of a hull: pairs of corners that two parallel lines can touch, walked around once."""
+    rows, ids = list(hull[["x", "y"]].itertuples(index=False, name=None)), hull["id"].tolist()
+    m, k, pairs = len(rows), 1, set()
+    for i in range(m):
+        j = (i + 1) % m
+        steps = 0
+        while steps < m and _cross(rows[i], rows[j], rows[(k + 1) % m]) > _cross(rows[i], rows[j], rows[k]):
+            k, steps = (k + 1) % m, steps + 1
+        pairs |= {(e, (k + d) % m) for e in (i, j) for d in (-1, 0, 1)}  # its neighbours too, for parallel sides and rounding
+    found = []
+    for a, b in pairs:
+        if ids[a] != ids[b]:
+            (ax, ay), (bx, by) = rows[a], rows[b]
+            found.append((-(((ax - bx) * (ax - bx) + (ay - by) * (ay - by)) ** 0.5), min(ids[a], ids[b]), max(ids[a], ids[b])))
+    d, a, b = min(found)
+    return a, b, -d
+
+
+#: Hull points of all groups that a task holds before it sends them on.
+_HELD = 200_000
 
 
 def farthest_pairs(points: DataFrame, group: str, id_col: str, xy: tuple[str, str] = ("x", "y")) -> DataFrame:
     """(group, id_a, id_b, dist): the two points of each group that are farthest apart; a single point gives no row.
 
-    Both lie on the group's convex hull, so tasks first shrink their rows to hulls and only hull points meet.
-    Ties go to the smallest ids; points without coordinates are left out.
+    Both lie on the group's convex hull, so tasks first shrink their rows to hulls and only hull points meet, where one
+    walk around the hull finds the pair. Points may coincide: if all of a group do, the pair is of the two smallest ids
+    and its distance 0. Ties go to the smallest ids; points without coordinates or group are left out.
     """
     kind = points.schema[group].dataType.simpleString()
-    rows = points.select(F.col(group).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(xy[0]).alias("x"), F.col(xy[1]).alias("y")).dropna()
+    rows = points.select(F.col(group).alias("g"), F.col(id_col).cast("long").alias("id"), F.col(xy[0]).cast("double").alias("x"), F.col(xy[1]).cast("double").alias("y")).dropna()
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
         for batch in batches:
             for g, own in batch.groupby("g"):
                 held[g] = _hull(pd.concat([held[g], own]) if g in held else own)
+            if sum(map(len, held.values())) > _HELD:
+                yield pd.concat(held.values())
+                held = {}
         if held:
             yield pd.concat(held.values())
 
-    schema = f"g {kind}, id long, x double, y double"
-    hull = rows.mapInPandas(local, schema).groupBy("g").applyInPandas(lambda pdf: _hull(pdf), schema)
-    a, b = (hull.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "x", "y")]) for side in "ab")
-    pairs = a.join(b, "g").where("id_a < id_b").withColumn("d", distance(F.col("x_a"), F.col("y_a"), F.col("x_b"), F.col("y_b")))
-    best = pairs.groupBy("g").agg(F.min_by(F.struct("id_a", "id_b", "d"), F.struct(-F.col("d"), F.col("id_a"), F.col("id_b"))).alias("best"))
-    return best.select(F.col("g").alias(group), "best.id_a", "best.id_b", F.round("best.d", 6).alias("dist"))
+    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = _hull(pdf)
+        found = [(pdf["g"].iloc[0], *_farthest(hull))] if len(hull) > 1 else []
+        return pd.DataFrame(found, columns=["g", "id_a", "id_b", "d"])
+
+    hulls = rows.mapInPandas(local, f"g {kind}, id long, x double, y double")
+    best = hulls.groupBy("g").applyInPandas(pair, f"g {kind}, id_a long, id_b long, d double")
+    return best.select(F.col("g").alias(group), "id_a", "id_b", F.round("d", 6).alias("dist"))
 
 
 def cell_counts(points: DataFrame, size: float, xy: tuple[str, str] = ("x", "y"), *keys: str) -> DataFrame:

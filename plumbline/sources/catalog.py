@@ -68,3 +68,17 @@ def normal_place(place: str) -> str:
         words = words[:-1]
     name = " ".join(words)
     return ALIASES.get(name, "_".join(words))
+
+
+def resolve_entity(name: str) -> tuple[str | None, list[str]]:
+    """The entity that a name means, and the others that it might mean as well.
+
+    An exact name is never ambiguous. Else all entities that have every word of the name fit, singular or plural; the
+    first in the alphabet is taken, the rest are listed. (None, []) if none fits.
+    """
+    key = " ".join(name.lower().split())
+    if key in ENTITIES:
+        return key, []
+    bare = lambda text: {w.removesuffix("s") for w in text.split()}
+    fits = sorted(e for e in ENTITIES if key and bare(key) <= bare(e))
+    return (fits[0], fits[1:]) if fits else (None, [])

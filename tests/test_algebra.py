@@ -72,3 +72,46 @@ def test_malformed_trees_are_rejected(tree):
 def test_rank_within_groups(spark, sf):
     rows = compile_plan(spark, sf, Rank("event_type", 1, Select("error events"))).data.collect()
     assert [(r.event_type, r["rank"]) for r in rows] == [("error", 1)]
+
+
+def test_rows_are_counted_while_an_answer_is_computed(spark, sf):
+    plan = Aggregate("space", "count", Select("open orders", Region("Asia region"), ("1996", "1998-06")))
+    answer = compile_plan(spark, sf, plan, counts=True)
+    value = answer.data.first().value
+    steps = answer.counted()
+    assert [(s["op"], s.get("rows")) for s in steps] == [("REGION", None), ("SELECT", value), ("AGGREGATE", 1)]
+    assert "rows" not in compile_plan(spark, sf, plan).counted()[1]
+
+
+def test_names_that_fit_several_entities_say_so(spark, sf):
+    answer = compile_plan(spark, sf, Aggregate("space", "count", Select("Error event")))
+    assert answer.provenance[0]["entity"] == "error events" and answer.provenance[0]["ambiguous"] == []
+    step = compile_plan(spark, sf, Aggregate("space", "count", Select("events"))).provenance[0]
+    assert step["entity"] == "click events" and step["ambiguous"] == ["error events", "purchase events", "signup events", "view events"]
+    assert compile_plan(spark, sf, Select("tides")).status == "data_request"
+
+
+@pytest.mark.parametrize("time", [("1996", None), (None, "1996"), ("1996-02", "1996-12"), ("1996-02-29", "1996-03-01"), ("1995-12", "1996-02")])
+def test_time_bounds_reach_the_scan_and_mean_what_is_written(spark, sf, time):
+    data = compile_plan(spark, sf, Select("orders", None, time)).data
+    dates = [str(r.o_orderdate)[:10] for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderdate").collect()]
+    start, end = time
+    want = sum((not start or d[: len(start)] >= start) and (not end or d[: len(end)] <= end) for d in dates)
+    assert data.count() == want
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert ("GreaterThanOrEqual(o_orderdate" in plan) == bool(start) and ("LessThan(o_orderdate" in plan) == bool(end)
+
+
+def test_times_that_are_none_are_rejected(spark, sf):
+    with pytest.raises(PlanError):
+        compile_plan(spark, sf, Select("orders", None, ("last year", None)))
+
+
+def test_results_are_the_same_at_every_run(spark, sf):
+    from plumbline.plans.compile import result_determinism, row_digest
+
+    found = result_determinism(spark, sf, Aggregate("time", "count", Select("orders"))).first()
+    assert (found.reps, found.distinct_results) == (3, 1)
+    a, b = (spark.createDataFrame(rows, "x int, y string") for rows in ([(1, "a"), (2, None)], [(2, None), (1, "a")]))
+    assert row_digest(a).first() == row_digest(b).first() and row_digest(a).first() != row_digest(a.limit(1)).first()
+    assert row_digest(a.limit(0)).first().rows == 0

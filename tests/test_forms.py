@@ -107,3 +107,35 @@ def test_documents_that_contain_whole_items(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(citations, "BROADCAST", most, raising=False)
         got = Counter((r.doc_id, r.item_id) for r in queries.queries()["citation_contains"](spark, str(tmp_path)).collect())
         assert got == want
+
+
+def test_failed_calls_are_made_again_and_recorded_answers_replayed(spark, tmp_path):
+    mark = tmp_path / "tries"
+
+    def flaky(url):
+        with open(mark, "a") as f:
+            f.write(url)
+        if mark.read_text().count(url) < 3:
+            raise OSError("busy")
+        return "é" * 300_000
+
+    urls = spark.createDataFrame([("u",)], "url string")
+    got = citations.fetched(urls, flaky, retries=2, wait=0.01).first()
+    assert got.body == "é" * 200_000  # 400,000 bytes
+    assert citations.fetched(spark.createDataFrame([("v",)], "url string"), flaky).first().body.startswith(citations.FAILED)
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "q int, model string")
+    told = citations.replayed(asked, spark.createDataFrame([(1, "a", "25")], "q int, model string, answer string"), ["q", "model"])
+    assert sorted((r.q, r.answer, r.error) for r in told.collect()) == [(1, "25", None), (2, None, "not recorded")]
+
+
+def test_media_languages_reasons_and_ids(spark):
+    blank = [None] * 3
+    rows = [("f", i, t, *blank) for i, t in enumerate(["file", "barcode", "image", "text", "begin repeat", "text", "begin repeat", "integer", "end repeat", "end repeat"])]
+    rows += [("g", i, t, None, None, "x" if i == 1 else None) for i, t in enumerate(["text", "select_one a", "integer", "date"])]
+    found = {r.form: r for r in forms.form_features(spark.createDataFrame(rows, "form string, pos int, type string, relevant string, constraint string, choice_filter string")).collect()}
+    assert (found["f"].media, found["f"]["class"], found["f"].reasons) == (3, "not_flattenable", ["nested repeats", "media/geo-centric"])
+    assert found["g"]["class"] == "card" and found["g"].reasons == ["1 cascading selects (domains become context-dependent)", "no repeat group — card layout needed"]
+    sheets = spark.createDataFrame([("a", {"type": "text", "label::en": "x"}), ("a", {"label::fr": "y"}), ("b", {"label": "z"})], "path string, fields map<string,string>")
+    assert {r.path: r.languages for r in forms.languages(forms.header_names(sheets)).collect()} == {"a": 2, "b": 0}
+    ids = spark.createDataFrame([("s", "PRAB2Z"), ("t", "PRXY3Z"), ("s", "PRAB2Z")], "slug string, form_id string")
+    assert [tuple(r) for r in forms.with_form_id(spark.createDataFrame([("s", 1), ("u", 2)], "slug string, n int"), ids).collect()] == [("s", 1, "PRAB2Z")]

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import integrity, jobs, reports, rules, sequences, spatial
+from plumbline.operators import snapping, integrity, jobs, reports, rules, sequences, spatial
 
 
 def one(spark, expr):
@@ -34,8 +34,30 @@ def test_text_helpers(spark):
 
 def test_snap_needs_a_clear_winner(spark):
     df = spark.createDataFrame([("Harboor",), ("harb",), ("abc",), ("Riverside",), (None,), ("paral",)], "v string")
-    got = [r[0] for r in df.select(fx.snap_to(["Harbour", "Riverside", "parallel a", "paralx", "paraly"])("v")).collect()]
-    assert got == ["Harbour", None, None, "Riverside", None, None]
+    options = spark.createDataFrame([(o,) for o in ["Harbour", "Riverside", "parallel a", "paralx", "paraly", None]], "o string")
+    got = {r.v: r.snapped for r in snapping.snap(df, "v", options, "o").collect()}
+    assert got == {"Harboor": "Harbour", "harb": None, "abc": None, "Riverside": "Riverside", None: None, "paral": None}
+    assert snapping.snap(df.limit(0), "v", options, "o").count() == 0 and snapping.snap(df, "v", options.limit(0), "o").where("snapped is not null").count() == 0
+
+
+def test_snap_matches_a_comparison_with_every_option(spark):
+    import difflib
+
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcde", k=rng.randint(3, 9))) for _ in range(120)]
+    options = sorted({w for w in words[:60] if len(w) >= 4})
+    texts = sorted({*words, *[w[:2] + rng.choice("abcxyz") + w[3:] for w in words], *[w + "q" for w in words]})
+    want = {}
+    for t in texts:
+        close = difflib.get_close_matches(t, options, n=2, cutoff=0.78) if len(t) >= 4 else []
+        if len(close) == 2:
+            a, b = (difflib.SequenceMatcher(None, t, c).ratio() for c in close)
+            close = close if a - b > 0.08 else []
+        want[t] = close[0] if close else None
+    rows = spark.createDataFrame([(t,) for t in texts * 2], "v string")
+    found = snapping.snap(rows, "v", spark.createDataFrame([(o,) for o in options], "o string"), "o").collect()
+    assert len(found) == 2 * len(texts) and {r.v: r.snapped for r in found} == want
+    assert sum(v is not None for v in want.values()) > 60
 
 
 def test_within_distance_matches_brute_force(spark):
@@ -81,6 +103,84 @@ def test_sequences(spark):
     assert [r.key for r in keys] == ["x", "x_", "x__", "x___", "y", "x____"]
 
 
+def _events(n_groups=3, n=400):
+    rng = random.Random(6)
+    return [(g, i, rng.choice("abc"), rng.choice([None, None, 1.0, 2.0])) for g in range(n_groups) for i in range(n if g else 37)] + [(None, 1, "a", None), (None, 2, "b", 3.0)]
+
+
+@pytest.mark.parametrize("most", [1_000_000, 20, 3])
+def test_sequences_in_blocks_match_plain_walks(spark, most):
+    rows = _events()
+    df = spark.createDataFrame(rows, "g long, i long, v string, x double").repartition(3)
+    by = {}
+    for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        by.setdefault(r[0], []).append(r)
+    begin, end = F.col("v") == "a", F.col("v") == "b"
+    islands, depth, region, fill, keys = [], [], [], [], []
+    counts = {}
+    for g, own in by.items():
+        deep, state, number = 0, 0, 0
+        for k, (_, i, v, _) in enumerate(own):
+            if k and own[k - 1][2] == v:
+                islands[-1][3], islands[-1][5] = islands[-1][3] + 1, i
+            else:
+                number += 1
+                islands.append([g, number, v, 1, i, i])
+            deep = max(0, deep + (v == "a") - (v == "b"))
+            depth.append((g, i, deep))
+            state = 1 if v == "a" and state == 0 else 2 if v == "b" and state == 1 else state
+            if state == 1 and v != "a":
+                region.append((g, i))
+            known = [(abs(j - k), j, r[3]) for j, r in enumerate(own) if r[3] is not None]
+            fill.append((g, i, min(known)[2] if known else None))
+    for g, i, v, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        keys.append((g, i, v + "_" * counts.get(v, 0)))
+        counts[v] = counts.get(v, 0) + 1
+    same = lambda found, want: sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+    assert same(sequences.islands(df, "g", ["i"], "v", most), islands)
+    assert same(sequences.nesting(df, "g", ["i"], begin, end, most).select("g", "i", "depth"), depth)
+    assert same(sequences.first_region(df, "g", ["i"], begin, end).select("g", "i"), region)
+    assert same(sequences.nearest_fill(df, "g", ["i"], "x", "f", most).select("g", "i", "f"), fill)
+    assert same(sequences.unique_keys(df, "v", ["g", "i"], most=most).select("g", "i", "key"), keys)
+
+
+def test_farthest_pairs_of_coinciding_and_round_groups(spark):
+    import math
+
+    rng = random.Random(9)
+    rows = [("equal", i, 1.0, 2.0) for i in (5, 3, 9)] + [("one", 1, 0.0, 0.0)] + [("twice", i, float(i // 2), 0.0) for i in range(8)]
+    rows += [("circle", i, math.cos(i / 50), math.sin(i / 50)) for i in range(314)] + [("cloud", i, rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(300)]
+    rows += [("square", 4 * a + b, float(a), float(b)) for a in range(4) for b in range(4)]
+    got = {r.g: (r.id_a, r.id_b, r.dist) for r in spatial.farthest_pairs(spark.createDataFrame(rows, "g string, id long, x double, y double").repartition(5), "g", "id").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        pairs = [(-math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2), a[1], b[1]) for a in own for b in own if a[1] < b[1]]
+        if pairs:
+            d, a, b = min(pairs)
+            want[g] = a, b, round(-d, 6)
+    assert got == want and "one" not in got
+
+
+def test_edges_match_brute_force(spark):
+    import math
+
+    rng = random.Random(10)
+    points = [(i, rng.uniform(50, 50.2), rng.uniform(7, 7.2)) for i in range(150)] + [(150, None, 7.0), (151, -33.0, 7.0)]
+    edges = [tuple(v for _ in range(2) for v in (rng.uniform(50, 50.2), rng.uniform(7, 7.2))) for _ in range(6)] + [(50.1, 7.1, 50.1, 7.1), (None, 7.0, 50.0, 7.0)]
+    found = spatial.within_km_of_edges(spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(edges, "lat1 double, lon1 double, lat2 double, lon2 double"), 0.6)
+    got = sorted(r.id for r in found.collect())
+
+    def km(p, q):
+        a = math.sin(math.radians(q[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(q[0])) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371.0088 * math.asin(math.sqrt(a))
+
+    far = {}
+    for i, lat, lon in points[:150]:
+        far[i] = min(km((lat, lon), (a + (c - a) * t / 2000, b + (d - b) * t / 2000)) for a, b, c, d in edges[:-1] for t in range(2001))
+    assert [i for i in got if far[i] > 0.601] == [] and [i for i, d in far.items() if d < 0.599 and i not in got] == [] and 10 < len(got) < 140
+
+
 def test_jobs(spark):
     todo = spark.createDataFrame([("a",), ("b",), ("c",)], "form string")
     done = spark.createDataFrame([("a", None, 500), ("b", "failed", 900), ("c", None, 100)], "form string, error string, bytes int")
@@ -117,6 +217,28 @@ def test_reports(spark):
     assert [r.threshold for r in sweep.where("best").collect()] == [2.5]
 
 
+def test_summaries_cuts_and_reports(spark):
+    rows = spark.createDataFrame([(1.0, None, "ok", 2.0), (0.5, None, None, 0.0), (None, "boom", "ok", 4.0)], "acc double, error string, verdict string, s double")
+    got = reports.run_summary(rows, ["acc"], latency="s").first()
+    assert (got.n, got.n_error, got.acc, got.verdicts, got.mean_latency) == (3, 1, 0.75, {"?": 1, "ok": 2}, 3.0)
+    none = reports.run_summary(rows.limit(0), ["acc"]).first()
+    assert (none.n, none.verdicts, none.acc) == (0, {}, None)
+    values = spark.createDataFrame([("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 5.0), (None, 7.0)], "g string, v double")
+    assert sorted(r.v for r in reports.iqr_cut(values, "g", "v").collect()) == [1, 2, 3, 4, 5, 7]
+    lines = [r.line for r in reports.fixed_width(spark.createDataFrame([(1, "abc"), (22, None)], "n int, t string"), n=4, t=2).collect()]
+    assert lines == ["   1 ab", "  22 - "]
+    times = spark.createDataFrame([("a", 5), ("b", None), ("c", 9), ("d", 5)], "n string, created int")
+    assert [r.n for r in jobs.newest_first(times, "created", "n").collect()] == ["c", "a", "d", "b"]
+
+
+def test_names_templates_and_serials(spark):
+    assert one(spark, fx.filled("{a} {{x}} {b}", a=F.lit("1"), b=F.lit(None))) == "1 {x} "
+    assert one(spark, fx.form_id(F.lit("see PRAB2Z and PRQQQQ"))) == "PRAB2Z" and one(spark, fx.form_id(F.lit("PRab2z"))) is None
+    assert one(spark, fx.all_urls(F.lit("http://a http://b"), F.lit("http://a"), F.lit(None).cast("string"))) == ["http://a", "http://b"]
+    assert one(spark, fx.field_of_each(F.create_map(F.lit("k"), F.struct(F.lit(1).alias("a"), F.lit(2).alias("b"))), "b")) == {"k": 2}
+    assert [one(spark, rules.serial_mismatch(F.lit(v), F.lit(2))) for v in ("3", " 3.0 ", "", "4", "l", None)] == [False, False, False, True, True, False]
+
+
 def test_integrity(spark):
     files = spark.createDataFrame([("a.md", "x"), ("b.md", "y"), ("c.md", "z")], "name string, text string")
     there = spark.createDataFrame([("a.md", "x"), ("b.md", "changed")], "name string, text string")

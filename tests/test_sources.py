@@ -68,3 +68,50 @@ def test_a_stream_takes_each_file_once_and_counts_by_window(spark, sf, tmp_path)
     query = daily.writeStream.format("memory").queryName("daily").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("daily").selectExpr("sum(value)").first()[0] == events.count()
+
+
+def _book(path, sheets):
+    """A small workbook: sheet name -> rows of cell texts, None for no cell."""
+    import zipfile
+
+    letters = "ABCDEFG"
+    with zipfile.ZipFile(path, "w") as z:
+        names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        for i, rows in enumerate(sheets.values(), 1):
+            cells = "".join(f'<row r="{r}">' + "".join(f'<c r="{letters[c]}{r}" t="inlineStr"><is><t>{v}</t></is></c>' for c, v in enumerate(row) if v is not None) + "</row>" for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/s{i}.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{cells}</sheetData></worksheet>')
+
+
+def test_grids_keep_blank_table_rows_and_drop_blank_header_rows(spark, tmp_path):
+    _book(tmp_path / "a.xlsx", {"table": [["S.No", "Name"], ["1", "Asha"], ["2", None], [None, None]], "header": [["Date", "01-02-2025"], [" ", None], ["Place"]]})
+    _book(tmp_path / "b.xlsx", {"Sheet1": [["x"], [None], ["y"]], "other": [["z"]]})
+    (tmp_path / "c.xlsx").write_text("no workbook")
+    got = {}
+    for r in readers.grids(spark, str(tmp_path)).orderBy("path", "part", "row").collect():
+        got.setdefault((r.path[-6:], r.part), []).append(r["values"])
+    assert got == {
+        ("a.xlsx", "table"): [["S.No", "Name"], ["1", "Asha"], ["2", None], [None, None]], ("a.xlsx", "header"): [["Date", "01-02-2025"], ["Place", None]],
+        ("b.xlsx", "table"): [["x"], [None], ["y"]],
+    }
+
+
+def test_catalogues_pages_and_whole_files(spark, tmp_path):
+    for name, text in (("a/template.json", '{"form_id": "PRAB2Z", "title": "A",\n "rows": 3}'), ("b/template.json", "{broken"), ("c/template.json", '{"title": "no id"}'), ("d/other.json", '{"form_id": "x", "title": "y"}')):
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_text(text)
+    found = readers.catalogue(spark, str(tmp_path), "form_id string, title string, rows int", ["form_id", "title"], "template.json").collect()
+    assert [(r.form_id, r.title, r.rows) for r in found] == [("PRAB2Z", "A", 3)]
+    (tmp_path / "a" / "index.html").write_text("<p>\n</p>")
+    (tmp_path / "index.html").write_text("top")
+    assert sorted(r.html for r in readers.html_files(spark, str(tmp_path)).collect()) == ["<p>\n</p>", "top"]
+    (tmp_path / "m.json").write_text('[{"name": "a",\n"n": 1}, {"name": "b"}]')
+    assert [tuple(r) for r in readers.json_file(spark, str(tmp_path / "m.json"), "name string, n int").orderBy("name").collect()] == [("a", 1), ("b", None)]
+
+
+def test_csv_files_have_crlf_and_quotes(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a "b", c'), (2, "line\nbreak"), (3, None)], "n int, t string").coalesce(1)
+    readers.write_csv(rows, str(tmp_path / "out"))
+    text = b"".join(p.read_bytes() for part in ("header", "rows") for p in sorted((tmp_path / "out" / part).glob("part-*")))
+    assert text == b'n,t\r\n1,"a ""b"", c"\r\n2,"line\nbreak"\r\n3,\r\n'
