@@ -13,10 +13,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir, or else the one that the session has set.
+
+    Where there is neither, a temporary one on a local master; on a cluster, whose executors could not see that, an error.
+    """
     sc = spark.sparkContext
-    if (named := sc.getConf().get("spark.checkpoint.dir")) is None:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="plumbline-checkpoint-")
+    if (named := sc.getConf().get("spark.checkpoint.dir")) is None and (named := sc.getCheckpointDir()) is None:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
@@ -33,6 +38,11 @@ def rows_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """The columns of df as they are, also where a name has a dot or a backtick in it."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the decimal id, modulo parts; a null id counts as the empty string."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

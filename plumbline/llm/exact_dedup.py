@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import SPACES, durable, rows_of
+from plumbline.llm.common import SPACES, columns_of, durable, rows_of
 
 #: Bits in one aggregated bitmap of Spark SQL, and hash functions of a filter.
 _BITMAP, _HASHES = 32768, 4
@@ -144,6 +144,6 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     from pyspark.sql import Window
 
     order = Window.partitionBy("__id", "__sha").orderBy("__order")
-    repeated = rest.join(again.drop("__again"), keys).withColumn("__order", F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
-    first = repeated.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*docs.columns)
+    repeated = rest.join(again.drop("__again"), keys).withColumn("__order", F.to_json(F.struct(*columns_of(docs))))
+    first = repeated.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns_of(docs))
     return rest.join(again, keys, "left_anti").unionByName(first)

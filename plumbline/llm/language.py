@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import fold
@@ -140,26 +140,40 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
 
 
-def bounded_sample(rows: DataFrame, group: str, id_col: str, most: int) -> DataFrame:
-    """About `most` rows of each value of `group`, by a hash of the id; all of them where there are no more.
+def sample_keys(rows: DataFrame) -> DataFrame:
+    """rows of (doc_id, text, ...) with what a sample is chosen by: a hash of id and text, and the text's bytes."""
+    return rows.withColumn("sample_key", F.xxhash64("doc_id", "text", F.lit("sample"))).withColumn("sample_size", F.octet_length("text"))
 
-    Expected sizes; the chance of over `most` + 10 sqrt(most) rows is nil.
-    """
-    counts = rows.groupBy(group).count().collect()  # one row a value
-    share = {r[group]: min(1.0, most / r["count"]) for r in counts}
-    if not share:
-        return rows.limit(0)
-    rate = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])[F.col(group)]
-    return rows.where(F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) < rate * 1_000_000)
 
+def sample_rule(keyed: DataFrame, group: str, most: int, most_bytes: int) -> Column:
+    """The condition on rows with sample_keys that a bounded sample of each value of `group` meets.
 
-def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, sample_bytes: int = 16_384) -> PPM | None:
-    """Context trees of every lang of docs, from at most about sample_docs whole texts of up to sample_bytes for each.
+    About `most` distinct rows and about `most_bytes` bytes of whole texts for each value, chosen by the hash of id and
+    text, so rows that repeat an id or have none are chosen one by one; all rows where there are no more. Texts of any
+    length take part, and the shortest text of a value is always in, so a value that has nothing but long texts is not
+    lost. Beyond the expected sizes there is only chance: some square roots of `most` rows, and the length of one text.
+    """
+    # Distinct rows are counted by sketch, as copies must not make the sample smaller.
+    counts = keyed.groupBy(group).agg(
+        F.approx_count_distinct("sample_key", 0.01).alias("n"), F.avg("sample_size").alias("mean"), F.min(F.struct("sample_size", "sample_key")).alias("least")
+    ).collect()  # one row a value
+    if not counts:
+        return F.lit(False)
+    rate = {r[group]: min(1.0, most / (1.02 * r["n"]) if r["n"] > most else 1.0, most_bytes / max(1.0, r["n"] * r["mean"])) for r in counts}
+    # The hash as a signed long from its lowest value up: a share of all hashes, as fine as the rate needs.
+    upto = {g: min((1 << 63) - 1, int(x * (1 << 64)) - (1 << 63)) for g, x in rate.items()}
+    of = lambda values: F.create_map(*[F.lit(x).cast("long") if i % 2 else F.lit(x) for pair in values.items() for i, x in enumerate(pair)])[F.col(group)]
+    shortest = (F.col("sample_size") == of({r[group]: r["least"]["sample_size"] for r in counts})) & (F.col("sample_key") == of({r[group]: r["least"]["sample_key"] for r in counts}))
+    return (F.col("sample_key") <= of(upto)) | shortest
+
+
+def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, sample_bytes: int = 4 << 20) -> PPM | None:
+    """Context trees of every lang of docs, from at most about sample_docs whole texts and sample_bytes for each.
 
     That sample bounds the trees, which the driver gathers as n-gram counts. None if no row has both lang and text.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.col("lang").isNotNull() & F.octet_length("text").between(1, sample_bytes))
+    rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +184,9 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         gram, n = np.unique(grams & np.uint32((1 << 8 * k) - 1), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "length", "gram", "n"])
 
-    counted = bounded_sample(rows, "lang", "doc_id", sample_docs).select("lang", "text").mapInArrow(count, "lang string, length int, gram long, n long")
+    keyed = sample_keys(rows)
+    sample = keyed.where(sample_rule(keyed, "lang", sample_docs, sample_bytes)).dropDuplicates(["lang", "sample_key"])
+    counted = sample.select("lang", "text").mapInArrow(count, "lang string, length int, gram long, n long")
     got = counted.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toPandas()
     if got.empty:
         return None

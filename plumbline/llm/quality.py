@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD
+from plumbline.llm.common import WORD, columns_of
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -83,7 +83,7 @@ def _measures(docs: DataFrame, text_col: str, ratios: list[float]) -> DataFrame:
         "n_repeat_words": F.when(F.col("__q_again").isNull(), F.lit(0)).otherwise(covered).cast("long"),
         "score": F.when(F.size("__q_grams") == 0, F.lit(0.0)).otherwise(total / F.size("__q_grams")),
     }
-    return df.select(*docs.columns, *[pinned(c).alias(f"__q_{name}") for name, c in measures.items()])
+    return df.select(*columns_of(docs), *[pinned(c).alias(f"__q_{name}") for name, c in measures.items()])
 
 
 def _rule_columns(min_words: int, max_repeat_percent: int, min_score: float) -> tuple[Column, Column]:
@@ -112,4 +112,4 @@ def keep_good(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_
     """The rows of docs that quality_report keeps, columns as they are."""
     ratios = llr_table(docs, trusted, id_col, text_col, buckets)
     _, kept = _rule_columns(min_words, max_repeat_percent, min_score)
-    return _measures(docs, text_col, ratios).where(kept).select(*docs.columns)
+    return _measures(docs, text_col, ratios).where(kept).select(*columns_of(docs))

@@ -57,15 +57,18 @@ def fingerprint(text: str, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp long): the fingerprint's 64 bits as a signed long. Null text counts as empty, whose fingerprint is 0."""
+    """(doc_id, text_key, fp long): a hash of the text and the fingerprint's 64 bits as a signed long.
+
+    Null text counts as empty, whose fingerprint is 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, len(batch))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    rows = rows_of(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    rows = rows_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key long, fp long")
 
 
 class BKTree:
@@ -158,6 +161,18 @@ def fingerprint_links(nodes: DataFrame, radius: int = 4, per_shard: int = 32, tr
     return ordered.mapInArrow(search, "a long, b long").distinct()
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> DataFrame:
+    """(doc_id, text_key, fp, component_id), a row for each row of docs."""
+    marked = durable(fingerprints(docs, id_col, text_col, shingle))
+    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    labels = connected_components(fingerprint_links(nodes.select("fp"), radius))
+    classes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    # Written down, so that a large class meets its id in a join of two plain shuffles, which Spark can split.
+    least = durable(classes.groupBy("label").agg(F.min("least").alias("component_id")))
+    of_fp = classes.select("fp", "label").join(least, "label").select("fp", "component_id")
+    return marked.join(of_fp, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
@@ -166,23 +181,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     like any other. Repeated rows each keep their row; a null doc_id never is a component_id unless all its group's are
     null. An empty table gives no rows; other columns are ignored.
     """
-    marked = durable(fingerprints(docs, id_col, text_col, shingle))
-    nodes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    labels = connected_components(fingerprint_links(nodes.select("fp"), radius))
-    classes = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    # Written down, so that a large class meets its id in a join of two plain shuffles, which Spark can split.
-    least = durable(classes.groupBy("label").agg(F.min("least").alias("component_id")))
-    of_fp = classes.select("fp", "label").join(least, "label").select("fp", "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return marked.join(of_fp, "fp").select("doc_id", digits.alias("fingerprint"), "component_id")
+    return _grouped(docs, id_col, text_col, shingle, radius).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
     """docs without those that are near copies of a document with a smaller id.
 
-    Columns stay as they are. Rows that repeat one id share its decision; a row without id stays only where its whole
-    group has none.
+    Columns stay as they are. A row is judged by its id and its text together, so of rows with one id and several texts
+    each follows its own group; rows equal in both share their decision; a row without id stays only where its whole
+    group has none. Null and empty texts are one group. An empty table gives no rows.
     """
-    groups = near_groups(docs, id_col, text_col, shingle, radius)
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("__dropped")), "left_anti")
+    groups = _grouped(docs, id_col, text_col, shingle, radius)
+    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__dropped"), F.col("text_key").alias("__key")).distinct()
+    same = F.col(id_col).eqNullSafe(F.col("__dropped")) & (F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) == F.col("__key"))
+    return docs.join(dropped, same, "left_anti")

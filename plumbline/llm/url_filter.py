@@ -6,6 +6,8 @@ joined to the rules on the first bytes of its SHA-256, the whole digest confirms
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,28 +26,35 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _expressions(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """The host suffixes with path prefixes that rules can match: one for each (labels, path length) among the rules'.
+
+    The shapes are one constant array, so the plan's size does not depend on their number.
+    """
+    text = json.dumps([{"k": k, "m": m} for k, m in shapes])
+    known = F.from_json(F.lit(text), "array<struct<k:int,m:int>>")
+    labels = F.split(host, r"\.")
+    fits = F.filter(known, lambda s: (F.size(labels) >= s["k"]) & (F.length(path) >= s["m"]))
+    return F.transform(fits, lambda s: F.concat(F.concat_ws(".", F.slice(labels, F.size(labels) - s["k"] + 1, s["k"])), F.lit("\n"), F.substring(path, F.lit(1), s["m"])))
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", prefix_digits: int = 8) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule (or null) and verdict.
 
     rules: host, path, verdict. A rule fits its host and all subdomains if the url's path starts with the rule's path;
     of those that fit the one with the longest host and path wins, then by verdict (block first) and rule. No rule gives
     `default`. Null urls and urls without :// have an empty host and path, which fit a rule of an empty host only.
-    Repeated rows get a row each; an empty table of rules allows all.
+    Repeated rows get a row each; an empty table of rules allows all, an empty table of pages gives no rows. Very long
+    urls cost what the rules' own lengths cost; other columns are ignored, whatever their names.
     """
     rules = rules.select(F.translate("host", _UPPER, _LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")).distinct()
     labels = F.size(F.split("r_host", r"\."))
     shape = rules.agg(F.collect_set(F.struct(labels.alias("labels"), F.length("r_path").alias("path"))).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    # Equal rows are judged once; this also deals out the expressions that follow.
-    rows = rows.groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.select("page_id", "url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    # The distinct (labels, path length) of the rules: a host suffix of so many labels, a path prefix of so many characters.
     shapes = sorted((s["labels"], s["path"]) for s in shape["s"])
-    host = F.split("host", r"\.")
-    suffix = lambda k: F.concat_ws(".", F.slice(host, F.size(host) - k + 1, F.lit(k)))
-    tried = [F.when((F.size(host) >= k) & (F.length("path") >= m), F.concat(suffix(k), F.lit("\n"), F.substring("path", 1, m))) for k, m in shapes]
-    tries = F.array_compact(F.array(*tried)) if tried else F.array().cast("array<string>")
-    expanded = rows.select("page_id", "url", "n", "host", "path", F.explode_outer(tries).alias("tried"))
+    # Equal rows are judged once. This is the only shuffle of all urls: what follows is grouped by the same columns.
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).groupBy("page_id", "url").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select("page_id", "url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    expanded = rows.select("page_id", "url", "n", "host", "path", F.explode_outer(_expressions(F.col("host"), F.col("path"), shapes)).alias("tried"))
     hashed = expanded.withColumn("digest", F.sha2(F.col("tried").cast("binary"), 256)).withColumn("short", F.substring("digest", 1, prefix_digits))
     r_digest = F.sha2(F.concat("r_host", F.lit("\n"), "r_path").cast("binary"), 256)
     keyed = rules.withColumn("r_digest", r_digest).withColumn("r_short", F.substring("r_digest", 1, prefix_digits))

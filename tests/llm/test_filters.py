@@ -235,10 +235,164 @@ def test_archives_are_warc_records(spark, tmp_path):
     assert bodies[name(1, b"a" * 500)] == b"a" * 500 and bodies[name(3, b"b" * 120)] == b"b" * 120
 
 
-def test_toxicity_learns_from_a_full_sample_of_usable_texts(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'calm'} words number {i}") for i in range(60)] + [(i, "x" * 20_000) for i in range(60, 120)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")  # most are of no document or a long one
+def test_toxicity_learns_from_a_full_sample_of_labelled_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'calm'} words number {i}" * (1 + 2000 * (i > 110))) for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")  # most are of no document
     seen, train = [], toxicity.train
     monkeypatch.setattr(toxicity, "train", lambda texts, y, **k: (seen.append((len(texts), int(sum(y)))), train(texts, y, **k))[1])
-    assert toxicity.fit_toxicity(docs, labels, lang_col=None, sample_docs=30) is not None
-    assert seen == [(60, 30)]
+    assert toxicity.fit_toxicity(docs, labels, lang_col=None) is not None
+    assert toxicity.fit_toxicity(docs, labels, lang_col=None, min_positive=5) is not None  # a fifth sets the thresholds
+    assert toxicity.fit_toxicity(docs, labels, lang_col=None, sample_docs=20) is not None
+    assert seen[0] == (120, 60) and seen[1][0] == 96 and 20 < seen[2][0] < 60
+
+
+def test_toxicity_sample_of_repeated_ids_and_long_texts(spark, monkeypatch):
+    rows = [(i % 10, f"calm words {i % 10}") for i in range(20_000)] + [(None, "vile words")] * 500 + [(77, "vile text " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, 0) for i in range(10)] + [(77, 0), (77, 1), (None, 1)], "doc_id long, toxic int")
+    seen, train = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, **k: (seen.append(sorted(zip(texts, y.tolist(), strict=True))), train(texts, y, **k))[1])
+    assert toxicity.fit_toxicity(docs, labels, lang_col=None, sample_docs=50, sample_bytes=5000) is not None
+    # Copies are one text, and the one toxic text is taken whole though it is longer than the bytes of the sample.
+    assert seen == [sorted([(f"calm words {i}".encode(), 0) for i in range(10)] + [(b"vile text " * 5000, 1)])]
+
+
+def _plain_score(model, text):
+    """The network's answer by plain loops: embeddings, ramp of each filter at each place, largest, logistic."""
+    vectors = [model.embedding[model.row.get(a, 0)].astype(float) + model.embedding[model.row.get(b, 0)] for a, b in map(toxicity._buckets, text.decode().split())]
+    pooled = []
+    for width in toxicity.WIDTHS:
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(vectors)):
+                value = float(model.bias[width][f])
+                for j in range(width):
+                    if at + j < len(vectors):
+                        value += float(vectors[at + j] @ model.filters[width][j][:, f])
+                best = max(best, value)
+            pooled.append(best)
+    return 1 / (1 + np.exp(-(float(np.array(pooled) @ model.head) + model.head_bias)))
+
+
+def _small_model():
+    rng = np.random.default_rng(2)
+    words = ["calm", "vile", "words", "again", "here", "and", "there", "nothing"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 9))).encode() for _ in range(40)]
+    labels = np.array([b"vile" in t for t in texts]).astype(int)
+    return toxicity.train(texts, labels, epochs=3, min_docs=1), texts, labels
+
+
+def test_scores_match_plain_loops_and_thresholds_move_to_a_half():
+    model, texts, _ = _small_model()
+    for piece in (texts, [b"", b"unseen", b"vile", b"a " * 5 + b"vile calm"]):
+        assert np.allclose(model.raw(piece, toxicity._Rows(model.row)), [_plain_score(model, t) for t in piece], atol=1e-5)
+    model.threshold = {-1: 0.3, 0: 0.3}
+    raw, score = model.raw(texts, toxicity._Rows(model.row)), model.scores(texts, toxicity._Rows(model.row))
+    assert ((raw >= 0.3) == (score >= 0.5)).all() and (np.argsort(raw, kind="stable") == np.argsort(score, kind="stable")).all()
+    s, y = np.array([0.9, 0.8, 0.6, 0.4, 0.2]), np.array([1, 1, 0, 1, 0])
+    best = max((2 * (y * (s >= t)).sum() / ((s >= t).sum() + y.sum()), t) for t in s)
+    t = toxicity._threshold(s, y)
+    assert 2 * (y * (s >= t)).sum() / ((s >= t).sum() + y.sum()) == pytest.approx(best[0])
+
+
+def test_gradients_match_differences():
+    model, texts, labels = _small_model()
+    for array in toxicity.parameters(model):  # double, so that differences mean something
+        array.flags.writeable = True
+    model.embedding = model.embedding.astype(float)
+    model.filters = {w: x.astype(float) for w, x in model.filters.items()}
+    model.bias = {w: x.astype(float) for w, x in model.bias.items()}
+    model.head = model.head.astype(float)
+    coded = [np.array([[model.row.get(b, 0) for b in toxicity._buckets(w)] for w in t.decode().split()]).reshape(-1, 2) for t in texts]
+    weight = np.linspace(0.5, 2, len(texts))
+    _, grads, by_bias = toxicity.loss_and_gradients(model, coded, labels, weight)
+    rng, step = np.random.default_rng(3), 1e-3  # convolved() works in single precision
+    for array, grad in zip(toxicity.parameters(model), grads, strict=True):
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in array.shape)
+            if array is model.embedding and at[0] == 0:
+                continue
+            held, losses = array[at], []
+            for moved in (held - step, held + step):
+                array[at] = moved
+                losses.append(toxicity.loss_and_gradients(model, coded, labels, weight)[0])
+            array[at] = held
+            assert (losses[1] - losses[0]) / (2 * step) == pytest.approx(grad[at], abs=5e-3)
+    losses = []
+    for moved in (model.head_bias - step, model.head_bias + step):
+        held, model.head_bias = model.head_bias, moved
+        losses.append(toxicity.loss_and_gradients(model, coded, labels, weight)[0])
+        model.head_bias = held
+    assert (losses[1] - losses[0]) / (2 * step) == pytest.approx(by_bias, abs=5e-3)
+
+
+def test_languages_with_long_texts_only_and_repeated_ids_are_learnt(spark):
+    rows = [(i, "the cat sat on the mat and the dog", "en") for i in range(30)] + [(1000, "der hund und die katze sind im garten " * 3000, "de")]
+    rows += [(i % 10, f"le chat et le chien sont dans le jardin {i % 10}", "fr") for i in range(20_000)] + [(None, "el gato y el perro en la casa", "es")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit_languages(docs, sample_docs=8, sample_bytes=20_000)
+    assert model.languages == ["de", "en", "es", "fr"]
+    found = model.predict([b"die katze und der hund", b"the dog and the cat", b"le chien et le chat", b"el perro y el gato"])[0]
+    assert found.tolist() == [0, 1, 3, 2]
+    keyed = language.sample_keys(docs.where("lang = 'fr'").select("doc_id", "text", "lang"))
+    taken = keyed.where(language.sample_rule(keyed, "lang", 8, 1 << 20)).dropDuplicates(["lang", "sample_key"]).count()
+    assert 1 <= taken <= 10
+
+
+def test_language_predictions_match_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = {r.doc_id: r for r in language.language_report(docs).collect()}  # few enough documents that all are learnt from
+    texts = {r.doc_id: (language.as_bytes(r.text), r.lang) for r in docs.collect()}
+    samples = collections.defaultdict(list)
+    for i, (raw, lang) in texts.items():
+        if raw and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            samples[lang].append(raw)
+    names = sorted(samples)
+    for i in sorted(texts, key=lambda i: len(texts[i][0]))[:12]:
+        raw, _ = texts[i]
+        if any(c.isalpha() for c in raw.decode()):
+            bits = np.array([_brute_bits(samples[x], 4, raw) for x in names])
+            assert rows[i].lang_pred == names[int(bits.argmin())]
+            assert rows[i].score == pytest.approx(1 / np.exp2(bits.min() - bits).sum(), abs=1e-3)
+
+
+def test_quality_scores_and_verdicts_match_brute_force(spark, odd):
+    from pyspark.sql import functions as F
+
+    trusted = spark.createDataFrame([(4,), (5,), (10,)], "doc_id long")
+    ratios = [round(x, 12) for x in quality.llr_table(odd, trusted, buckets=64)]
+    grams = sorted({g for _, t in ODD for w in [re.findall(WORD, t or "")] for g in [*[(x,) for x in w], *zip(w, w[1:], strict=False)]})
+    hashed = {}
+    for size in (1, 2):
+        frame = spark.createDataFrame([g for g in grams if len(g) == size], ", ".join(f"w{k} string" for k in range(size)))
+        hashed |= {tuple(r)[:-1]: r.b for r in frame.select("*", F.pmod(F.xxhash64(*frame.columns), F.lit(64)).alias("b")).collect()}
+    want = []
+    for i, t in ODD:
+        w = re.findall(WORD, t or "")
+        own = [ratios[hashed[g]] for g in [*[(x,) for x in w], *zip(w, w[1:], strict=False)]]
+        score = sum(own) / len(own) if own else 0.0
+        want.append((-1 if i is None else i, round(score, 4), not brute_rules(t)[-1] and score >= -0.1))
+    got = [(-1 if r.doc_id is None else r.doc_id, round(r.score, 4), r.kept) for r in quality.quality_report(odd, trusted, buckets=64).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_quality_verdicts_on_labels_that_were_not_learnt_from(spark):
+    sf = "/root/testdata/sf0.1"
+    labels, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "documents"))
+    known = labels.where("quality = 1 and crc32(cast(doc_id as string)) % 2 = 0").select("doc_id")
+    held = {r.doc_id: r.quality for r in labels.where("crc32(cast(doc_id as string)) % 2 = 1").collect()}
+    rows = [r for r in quality.quality_report(docs, known).collect() if r.doc_id in held and not r.base_failed]
+    assert np.mean([r.kept for r in rows if held[r.doc_id] == 1]) > 0.97 and np.mean([r.kept for r in rows if held[r.doc_id] == 0]) < 0.1
+
+
+def test_columns_with_dots_and_backticks_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("*", "1 as `a.b`", "2 as `c``d`")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    assert quality.keep_good(docs, labels.where("quality = 1").select("doc_id")).columns == docs.columns
+    assert toxicity.keep_clean(docs, labels).columns == docs.columns
+
+
+def test_many_rule_shapes_make_no_larger_plan(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.c.d.example.com/" + "x" * 50), (2, "http://q.org/" + "y" * 3)], "page_id long, url string")
+    rules = spark.createDataFrame([(".".join(["h"] * k) + ".com", "/" + "x" * m, "block") for k in range(1, 30) for m in range(40)] + [("example.com", "/xx", "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.rule for r in url_filter.judge_urls(pages, rules).collect()} == {1: "example.com/xx", 2: None}
