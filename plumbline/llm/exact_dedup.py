@@ -1,14 +1,16 @@
 """Exact deduplication by a log-structured merge index of text digests.
 
-Each task fills a memtable (digest to smallest id and count) and flushes it as a run sorted by digest; compaction merges
-the runs into one, keeping the smallest identifier of each digest, together with a Bloom filter over the digests that
-have more than one document. A second scan sends only the texts that pass the filter, and each hit is compared byte by
-byte with the text that it would repeat. Digests that turn out to cover different texts are grouped by the texts.
+Each task fills a memtable (digest to smallest id and count) and flushes it as a run sorted by digest. Compaction merges
+the runs of each range of digests in their order, keeping the smallest identifier, into one run a range; a range's run has
+a Bloom filter of the digests that several documents have, as large as their number asks for. A second scan probes the
+filters and sends on only the texts that pass, and each hit is compared byte by byte with the text that it would repeat.
+Digests that turn out to cover different texts are grouped by the texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,10 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import SPACES, columns_of, durable, rows_of
 
-#: Bits in one aggregated bitmap of Spark SQL, and hash functions of a filter.
-_BITMAP, _HASHES = 32768, 4
+#: Bits in one aggregated bitmap of Spark SQL; hash functions of a filter and its bits a digest (1 % pass by chance).
+_BITMAP, _HASHES, _BITS_EACH = 32768, 7, 10
+#: Ranges of digests, by their first three hexadecimal digits.
+_RANGES = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -56,46 +60,103 @@ def flush_runs(entries: DataFrame, memtable_rows: int = 200_000) -> DataFrame:
     return entries.select("digest", "doc_id", "m").mapInArrow(run, f"digest binary, keep_id {kind}, n long")
 
 
+def digest_range(digest: Column) -> Column:
+    """The number of a digest's range; ranges are in the order of digests."""
+    return F.conv(F.substring(F.rpad(F.hex(digest), 3, "0"), 1, 3), 16, 10).cast("int")
+
+
 def compact(runs: DataFrame) -> DataFrame:
-    """One sorted run of (digest, keep_id, n): the smallest id and the whole count of each digest of all runs."""
-    return runs.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("n")).sortWithinPartitions("digest")
+    """One run a range of (digest, keep_id, n): the smallest id and the whole count of each digest of all runs.
+
+    The runs of a range meet sorted, as Spark's sort merges them, and are walked through once; a digest that a third of
+    all documents have is one row of each flushed run, so no range grows with it.
+    """
+    merged = runs.withColumn("range", digest_range(F.col("digest"))).repartition("range").sortWithinPartitions("digest").drop("range")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, least, total = None, None, 0
+        for batch in batches:
+            out = []
+            for digest, keep_id, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if digest == last:
+                    least = keep_id if least is None or keep_id is not None and keep_id < least else least
+                    total += n
+                else:
+                    if last is not None:
+                        out.append((last, least, total))
+                    last, least, total = digest, keep_id, n
+            if out:
+                yield _rows(out, batch.schema)
+        if last is not None:
+            yield _rows([(last, least, total)], batch.schema)
+
+    return merged.mapInArrow(run, runs.select("digest", "keep_id", "n").schema)
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema.names)
+
+
+@dataclass
+class DigestFilter:
+    """Bloom filters of the ranges, one after the other: where each begins, how many bits it has, all bits."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    bits: np.ndarray
 
 
-def _positions(digest: Column, bits: int) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(digest, F.lit(j)), F.lit(bits)) for j in range(_HASHES)])
+def _spots(digest: Column, starts: np.ndarray, sizes: np.ndarray) -> Column:
+    """Where a digest's bits are in the filter of its range; null where the range has none."""
+    constant = lambda values: F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+    start, size = F.get(constant(starts), digest_range(digest)), F.nullif(F.get(constant(sizes), digest_range(digest)), F.lit(0))
+    return F.array(*[start + F.pmod(F.xxhash64(digest, F.lit(j)), size) for j in range(_HASHES)])
 
 
-def bloom_filter(digests: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of exactly `bits` bits over column digest, whatever the number of rows; false positives only."""
-    spots = digests.select(F.explode(_positions(F.col("digest"), bits)).alias("spot"))
+def digest_filter(digests: DataFrame, most_bytes: int) -> DigestFilter | None:
+    """Filters over column digest, sized by the number of rows in each range; None if they would exceed most_bytes."""
+    counts = digests.groupBy(digest_range(F.col("digest")).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a range
+    sizes = np.zeros(_RANGES, np.int64)
+    for row in counts:
+        sizes[row["r"]] = -(-row["n"] * _BITS_EACH // 64) * 64
+    if sizes.sum() > most_bytes * 8:
+        return None
+    starts = np.cumsum(sizes) - sizes
+    spots = digests.select(F.explode(_spots(F.col("digest"), starts, sizes)).alias("spot"))
     parts = spots.groupBy(F.floor(F.col("spot") / _BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.col("spot") % _BITMAP).alias("bitmap"))
-    whole = np.zeros((bits // _BITMAP, _BITMAP // 8), np.uint8)
-    for row in parts.collect():  # at most bits / 32,768 rows of 4 KB
+    whole = np.zeros((int(-(-sizes.sum() // _BITMAP)), _BITMAP // 8), np.uint8)
+    for row in parts.collect():  # most_bytes in rows of 4 KB, at most
         whole[row["part"]] = np.frombuffer(row["bitmap"], np.uint8)
-    return whole.reshape(-1)
+    return DigestFilter(starts, sizes, whole.reshape(-1))
 
 
-def may_hold(digest: Column, spark, bits: np.ndarray) -> Column:
-    """Whether the filter may hold a digest: always true for those that it was built from."""
-    held = spark.sparkContext.broadcast(bits)
+def may_hold(digest: Column, spark, found: DigestFilter | None) -> Column:
+    """Whether the filter may hold a digest: always true for those that it was built from, and without a filter."""
+    if found is None:
+        return F.lit(True)
+    held = spark.sparkContext.broadcast(found.bits)  # its size was checked as it was made
 
     @F.pandas_udf("boolean")
     def test(spots):
         import pandas as pd
 
-        at = np.array(spots.tolist(), np.int64).reshape(-1, _HASHES)
-        return pd.Series((held.value[at >> 3] >> (at & 7) & 1).all(axis=1))
+        none = spots.map(lambda s: s is None or s[0] is None or s[0] != s[0])
+        at = np.array([np.zeros(_HASHES, np.int64) if skip else s for s, skip in zip(spots, none, strict=True)], np.int64).reshape(-1, _HASHES)
+        bits = held.value if len(held.value) else np.zeros(1, np.uint8)
+        return pd.Series((bits[at >> 3] >> (at & 7) & 1).all(axis=1) & ~none.to_numpy(bool))
 
-    return test(_positions(digest, len(bits) * 8))
+    spots = _spots(digest, found.starts, found.sizes)
+    return test(F.when(F.get(spots, F.lit(0)).isNotNull(), spots))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, filter_bits: int = 1 << 23, digest_bytes: int = 32) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memtable_rows: int = 200_000, filter_bytes: int = 64 << 20, digest_bytes: int = 32) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of ASCII white space becomes one space; null counts as empty. The row
     with the smallest doc_id of equal texts stays. Of repeated rows with that id one stays; null ids come last, and a
     group of nothing but null ids has a null keep_id and keeps one row. An empty table gives no rows; other columns are
     ignored. `digest_bytes` is the part of the SHA-256 that serves as key; texts are compared, so any length is exact.
+    `filter_bytes`: up to this size (50 million repeated texts) the filters are broadcast; beyond it all texts are joined.
     """
     spark = docs.sparkSession
     whole = rows_of(docs, id_col, text_col).select("doc_id", normalised(F.col("text")).alias("norm"))
@@ -105,10 +166,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     index = durable(compact(flush_runs(entries, memtable_rows)))
     multi = index.where("n > 1").withColumnRenamed("digest", "key")
-    bits = bloom_filter(multi.select(F.col("key").alias("digest")), filter_bits)
+    found_by = digest_filter(multi.select(F.col("key").alias("digest")), filter_bytes)
 
     # The texts that may have a copy, the filter's few false positives dropped by the join.
-    maybe = hashed.where(may_hold(F.col("digest"), spark, bits))
+    maybe = hashed.where(may_hold(F.col("digest"), spark, found_by))
     texts = durable(maybe.join(multi, F.col("digest") == F.col("key")).select("doc_id", "digest", "norm", "keep_id"))
     keepers = texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("digest").alias("key"), F.col("norm").alias("kept_norm"))
     # Written down, so that the comparison is a join of two plain shuffles, whose hot digests Spark can split.

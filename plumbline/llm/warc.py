@@ -17,14 +17,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpoint_dir, durable
-from plumbline.llm.exact_dedup import bloom_filter, may_hold
+from plumbline.llm.exact_dedup import digest_filter, may_hold
 
 #: Format of WARC 1.1: what begins a record, what ends it.
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 _SPLIT, _MARK = END + VERSION, VERSION.strip()
 
 
-def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 100, filter_bits: int = 1 << 23) -> DataFrame:
+def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", min_revisit: int = 100, filter_bytes: int = 64 << 20) -> DataFrame:
     """(page_id, payload, payload_bytes, payload_digest, record_type, refers_to), a row for each row of pages.
 
     Of records with equal payloads of at least min_revisit bytes the one with the smallest id is the response and the
@@ -38,7 +38,7 @@ def record_types(pages: DataFrame, id_col: str = "page_id", payload_col: str = "
     index = sized.where(large).groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     index = durable(index.where("n > 1").select(F.col("payload_digest").alias("digest"), "first"))
     # Only payloads that pass a filter of the repeated digests go through the join; the others stay where they are.
-    maybe = large & may_hold(F.col("payload_digest"), pages.sparkSession, bloom_filter(index, filter_bits))
+    maybe = large & may_hold(F.unhex("payload_digest"), pages.sparkSession, digest_filter(index.select(F.unhex("digest").alias("digest")), filter_bytes))
     alone = sized.where(~maybe).withColumn("first", F.lit(None).cast(pages.schema[id_col].dataType))
     joined = sized.where(maybe).join(index, F.col("payload_digest") == F.col("digest"), "left").drop("digest").unionByName(alone)
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))

@@ -127,18 +127,60 @@ def brute_exact(rows):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("filter_bytes", [1 << 20, 1])
 @pytest.mark.parametrize("digest_bytes", [32, 1])
-def test_exact_groups_also_when_digests_clash(spark, odd, nothing, digest_bytes):
+def test_exact_groups_also_when_digests_clash_or_filters_do_not_fit(spark, odd, nothing, digest_bytes, filter_bytes):
     from tests.llm.conftest import ODD
 
     many = [(i, f"text {i % 190}") for i in range(400)]
     for frame, rows in ((odd, ODD), (spark.createDataFrame(many, "doc_id long, text string"), many)):
-        found = exact_dedup.exact_groups(frame, memtable_rows=7, filter_bits=1 << 15, digest_bytes=digest_bytes).collect()
+        found = exact_dedup.exact_groups(frame, memtable_rows=7, filter_bytes=filter_bytes, digest_bytes=digest_bytes).collect()
         got = sorted(((r.doc_id if r.doc_id is not None else 99, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in found), key=repr)
         assert got == brute_exact(rows)
     assert exact_dedup.exact_groups(nothing).count() == 0
 
 
+def test_filters_grow_with_what_they_hold_and_lose_nothing(spark):
+    from pyspark.sql import functions as F
+
+    def digests(low, high):
+        return spark.range(low, high).select(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)).alias("digest"))
+
+    sizes = []
+    for n in (0, 300, 60_000):
+        found = exact_dedup.digest_filter(digests(0, n), 1 << 20)
+        sizes.append(found.bits.nbytes)
+        passed = lambda low, high: digests(low, high).where(exact_dedup.may_hold(F.col("digest"), spark, found)).count()  # noqa: B023, E731
+        assert passed(0, n) == n and passed(100_000, 120_000) <= 500
+    assert sizes[0] < sizes[1] < sizes[2] < 200_000
+    assert exact_dedup.digest_filter(digests(0, 60_000), 1 << 10) is None
+
+
+def test_runs_are_sorted_and_merge_in_order(spark):
+    import random
+
+    rng = random.Random(1)
+    entries = [(bytes([rng.randrange(256), rng.randrange(4)]), rng.choice([None, *range(50)]), rng.randint(1, 3)) for _ in range(3000)]
+    frame = spark.createDataFrame(entries, "digest binary, doc_id long, m long").repartition(3)
+    runs = exact_dedup.flush_runs(frame, memtable_rows=100)
+    merged = exact_dedup.compact(runs)
+    parts = merged.rdd.mapPartitions(lambda rows: [[bytes(r.digest) for r in rows]]).collect()
+    assert all(p == sorted(p) for p in parts) and sum(map(len, parts)) == len({d for d, _, _ in entries}) < runs.count()
+    want = {}
+    for d, i, m in entries:
+        least, n = want.get(d, (None, 0))
+        want[d] = min((x for x in (least, i) if x is not None), default=None), n + m
+    assert {bytes(r.digest): (r.keep_id, r.n) for r in merged.collect()} == want
+
+
+def test_rows_of_one_id_and_several_texts_follow_their_own_groups(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long), (2, long), (2, other), (3, other), (None, long), (None, "alone but without id and quite different")]
+    kept = simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id or 0), r.text) for r in kept) == sorted([(1, long), (2, other), (0, rows[-1][1])])
+
+
 def test_keep_first_copies_keeps_one_row_of_each_text(spark, odd):
     kept = exact_dedup.keep_first_copies(odd)
     assert kept.columns == odd.columns
