@@ -21,6 +21,8 @@ from plumbline.llm.common import fold
 ORDERS = 4
 #: What stands before a text's first byte, and bytes scored at once.
 _START, _PIECE = b"\n\n\n", 1 << 19
+#: Tasks that count a sample, and n-grams that one holds before it sends them on.
+_SAMPLE_TASKS, _COUNTED = 8, 4_000_000
 
 
 def pieces(texts: Iterable[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -176,17 +178,32 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, k), found in sorted(held.items()):
+                gram, at = np.unique(np.concatenate([g for g, _ in found]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in found])).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n)], ["lang", "length", "gram", "n"])
+            held.clear()
+
         for batch in batches:
             langs, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
             for lang in sorted(set(langs)):
                 for _, grams, _ in pieces(as_bytes(texts[i]) for i in np.flatnonzero(langs == lang)):
                     for k in range(1, ORDERS + 1):
-                        gram, n = np.unique(grams & np.uint32((1 << 8 * k) - 1), return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram)), pa.array(np.full(len(gram), k, np.int32)), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["lang", "length", "gram", "n"])
+                        held.setdefault((lang, k), []).append(np.unique(grams & np.uint32((1 << 8 * k) - 1), return_counts=True))
+                        size += len(held[lang, k][-1][0])
+                    if size > _COUNTED:
+                        yield from flush()
+                        size = 0
+        yield from flush()
 
     keyed = sample_keys(rows)
     sample = keyed.where(sample_rule(keyed, "lang", sample_docs, sample_bytes)).dropDuplicates(["lang", "sample_key"])
-    counted = sample.select("lang", "text").mapInArrow(count, "lang string, length int, gram long, n long")
+    # A bounded sample is counted in a few tasks, so that the tables which they send on are few as well.
+    counted = sample.select("lang", "text").coalesce(_SAMPLE_TASKS).mapInArrow(count, "lang string, length int, gram long, n long")
     got = counted.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toPandas()
     if got.empty:
         return None
