@@ -1,15 +1,16 @@
-"""Documents as blocks of word codes, and look-ups of distinct words by one shuffle each way.
-
-A block is some documents of one task: its distinct words, and its documents as sequences of word codes in order of
-position. Words go to buckets by hash, once per block that has them; the tasks of a bucket work out each distinct word
-once and send the values back to the blocks. Blocks themselves wait in a table that is bucketed by block, so they are
-written once and never shuffled. What crosses the network is the distinct words of each block, not every occurrence.
+"""Documents as sequences of word codes, and values of distinct words joined back to them.
+
+A task cuts its documents into blocks. Of each block it writes its documents as codes in order of position, some documents
+a row, and one plain row for each of its distinct words. Word rows are shuffled by word: every distinct word of the corpus
+comes to one place, where it is worked out once in a stream sorted by word, so nothing there grows with a bucket. Values go
+back as rows of block and code and meet the documents of their block in a cogroup. Documents wait in a table that is
+bucketed by block, so they are written once and never shuffled; what crosses the network is the distinct words of each
+block, not every occurrence.
 """
 
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import checkpoint_dir
 
-#: Bytes of text after which a block is closed.
-BLOCK_BYTES = 8 << 20
+#: Bytes of text after which a block is closed, distinct words after which it is too, codes in a row of documents.
+BLOCK_BYTES, _WORDS, _CODES = 32 << 20, 1_000_000, 400_000
 _LEVEL = 3
+#: Rows in a batch of words.
+_BATCH = 20_000
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -46,18 +49,6 @@ def unpack(packed: bytes) -> np.ndarray:
     return values
 
 
-def pack_words(words: list[bytes]) -> bytes:
-    lengths = pack(np.array([len(w) for w in words], np.uint32))
-    return len(lengths).to_bytes(8, "little") + lengths + zstandard.ZstdCompressor(level=_LEVEL).compress(b"".join(words))
-
-
-def unpack_words(packed: bytes) -> list[bytes]:
-    cut = 8 + int.from_bytes(packed[:8], "little")
-    raw = zstandard.ZstdDecompressor().decompress(packed[cut:])
-    ends = np.cumsum(unpack(packed[8:cut]), dtype=np.int64).tolist()
-    return [raw[a:b] for a, b in zip([0, *ends][:-1], ends, strict=True)]
-
-
 class Coder(dict):
     """word -> its number in the block, in order of appearance."""
 
@@ -68,92 +59,101 @@ class Coder(dict):
 
 #: Makes, for a new block, the function from a text to its codes; the Coder then holds the block's words.
 Reader = Callable[[Coder], Callable[[str], "np.ndarray"]]
+#: Of one block: its documents (ids, lengths, codes) some at a time, and (codes, values) of its words.
+Documents = Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]
 
 
 class Blocks:
-    """The block table of docs, whose columns must be (doc_id, text, learn); learn: whether the words count."""
+    """The blocks of docs, whose columns must be (doc_id, text, learn); learn: whether the words count.
+
+    words: block, word, code, learnt (how often the block's learning documents have the word). The table stays until
+    drop(), which must wait until what is made of it has been written.
+    """
 
     def __init__(self, docs: DataFrame, reader: Reader, block_bytes: int = BLOCK_BYTES):
-        spark = docs.sparkSession
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        name = f"plumbline_blocks_{uuid.uuid4().hex}"
-        ids = docs.schema["doc_id"].dataType.simpleString()
-        made = docs.select("doc_id", "text", "learn").mapInArrow(_cut(reader, self.buckets, block_bytes), f"block string, bucket int, ids array<{ids}>, payload binary, counts binary")
-        writer = made.write.bucketBy(self.buckets, "block").option("path", f"{checkpoint_dir(spark)}/{name}").option("compression", "none")
-        writer.saveAsTable(name)
-        table = spark.table(name)
-        self.words = table.where("bucket >= 0").select("block", "bucket", "payload", "counts")
-        self.docs = table.where("bucket < 0").select("block", "ids", "payload", "counts")
-        self.id_type = ids
-
-    def by_bucket(self, run: Callable, schema: str) -> DataFrame:
-        """run over the word rows (block, bucket, payload, counts), those of a bucket in one task."""
-        return self.words.repartition(self.buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
-
-    def with_values(self, values: DataFrame, run: Callable, schema: str) -> DataFrame:
-        """run over (ids, payload, lengths, values) of each block; values: (block, bucket, payload) of all its buckets."""
-        of_block = values.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "payload"))).alias("found"))
-        joined = self.docs.join(of_block, "block", "left")
-        return joined.select("ids", "payload", F.col("counts").alias("lengths"), F.col("found.payload").alias("found")).mapInArrow(run, schema)
-
-
-def _cut(reader: Reader, buckets: int, block_bytes: int) -> Callable:
+        self.spark = docs.sparkSession
+        self.id_type = docs.schema["doc_id"].dataType.simpleString()
+        self.name = f"plumbline_blocks.b{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS plumbline_blocks LOCATION '{checkpoint_dir(self.spark)}/plumbline_blocks'")
+        schema = f"block long, word binary, code int, learnt long, ids array<{self.id_type}>, lengths binary, codes binary"
+        made = docs.select("doc_id", "text", "learn").mapInArrow(_cut(reader, block_bytes), schema)
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        made.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(self.name)
+        table = self.spark.table(self.name)
+        self.words = table.where("word is not null").select("block", "word", "code", "learnt")
+        self.docs = table.where("word is null").select("block", "ids", "lengths", "codes")
+
+    def with_values(self, values: DataFrame, run: Callable[[Documents, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """What run makes of the documents of each block and its values (block, code, ...), a row for each code."""
+
+        def both(docs: pa.Table, found: pa.Table) -> pa.Table:
+            own = ((ids.values, unpack(lengths).astype(np.int64), unpack(codes)) for ids, lengths, codes in zip(
+                docs.column("ids"), (x.as_py() for x in docs.column("lengths")), (x.as_py() for x in docs.column("codes")), strict=True))
+            return pa.Table.from_batches(run(own, found.combine_chunks()))
+
+        rest = [c for c in values.columns if c != "block"]
+        return self.docs.groupBy("block").cogroup(values.select(F.col("block").alias("of"), *rest).groupBy("of")).applyInArrow(both, schema)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def _cut(reader: Reader, block_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId(), 0
-        coder, held, size = Coder(), [], 0
-        read = reader(coder)
-        names = ["block", "bucket", "ids", "payload", "counts"]
+        names = ["block", "word", "code", "learnt", "ids", "lengths", "codes"]
+        part, number, id_type = TaskContext.get().partitionId(), 0, pa.int64()
+        coder, held, size, waiting = Coder(), [], 0, 0
+        read, learnt = reader(coder), np.zeros(0, np.int64)
 
-        def close() -> Iterator[pa.RecordBatch]:
-            codes = np.concatenate([c for _, c, _ in held]) if held else np.zeros(0, np.uint32)
-            words = list(coder)
-            n = np.bincount(codes, minlength=len(words))
+        def row() -> pa.RecordBatch:
+            """The documents that wait, as one row."""
+            nonlocal learnt, waiting
+            codes = np.concatenate([c for _, c, _ in held])
             taught = [c for _, c, learn in held if learn]
-            learnt = np.bincount(np.concatenate(taught), minlength=len(words)) if taught else np.zeros(len(words), np.int64)
-            bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-            order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            common = np.argsort(-n, kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[common] = np.arange(len(words))
-            block = f"{part}-{number}"
+            counts = np.bincount(np.concatenate(taught), minlength=len(coder)) if taught else np.zeros(len(coder), np.int64)
+            counts[: len(learnt)] += learnt
+            learnt, lengths = counts, np.array([len(c) for _, c, _ in held], np.uint32)
             ids = pa.array([pa.array([d for d, _, _ in held], id_type)], pa.list_(id_type))
-            payload = [pack(rank[codes]), pack(place[common])]
-            whole = len(payload[0]).to_bytes(8, "little") + payload[0] + payload[1]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([-1], pa.int32()), ids, pa.array([whole]), pa.array([pack(np.array([len(c) for _, c, _ in held], np.uint32))])], names)
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rows = [(b, order[bounds[b] : bounds[b + 1]]) for b in range(buckets) if bounds[b] < bounds[b + 1]]
-            if rows:
+            held.clear()
+            waiting = 0
+            block = pa.array([part << 32 | number], pa.int64())
+            return pa.RecordBatch.from_arrays([block, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), ids, pa.array([pack(lengths)]), pa.array([pack(codes)])], names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """What waits, and the block's words in order."""
+            if held:
+                yield row()
+            words = list(coder)
+            order = sorted(range(len(words)), key=words.__getitem__)
+            for at in range(0, len(order), _BATCH):
+                own = order[at : at + _BATCH]
+                n = len(own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([block] * len(rows)), pa.array([b for b, _ in rows], pa.int32()), pa.nulls(len(rows), pa.list_(id_type)),
-                    pa.array([pack_words([words[i] for i in own]) for _, own in rows]), pa.array([pack(learnt[own]) for _, own in rows]),
+                    pa.array(np.full(n, part << 32 | number, np.int64)), pa.array([words[i] for i in own], pa.binary()), pa.array(own, pa.int32()), pa.array(learnt[own]),
+                    pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 ], names)
 
-        id_type = pa.int64()
         for batch in batches:
             id_type = batch.schema.field(0).type
             for doc_id, text, learn in zip(*(batch.column(i) for i in range(3)), strict=True):
                 text = text.as_py()
                 held.append((doc_id.as_py(), read(text), learn.as_py()))
-                size += len(text)
-                if size >= block_bytes:
+                size, waiting = size + len(text), waiting + len(held[-1][1])
+                if waiting >= _CODES or len(held) >= _CODES:
+                    yield row()
+                if size >= block_bytes or len(coder) >= _WORDS:
                     yield from close()
-                    coder, held, size, number = Coder(), [], 0, number + 1
-                    read = reader(coder)
-        if held:
-            yield from close()
+                    coder, size, number = Coder(), 0, number + 1
+                    read, learnt = reader(coder), np.zeros(0, np.int64)
+        yield from close()
 
     return run
 
 
-def block_rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[bytes]]]:
-    """Of each block: its ids, the length of each document in words, the place of each word among the values, the values."""
-    for i in range(batch.num_rows):
-        payload, lengths, found = (batch.column(k)[i].as_py() for k in (1, 2, 3))
-        cut = 8 + int.from_bytes(payload[:8], "little")
-        place = unpack(payload[cut:])
-        codes = unpack(payload[8:cut])
-        yield batch.column(0)[i].values, unpack(lengths).astype(np.int64), place[codes] if len(place) else codes, found or []
+def distinct_runs(words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of a sorted array in order, and the place of each row's word among them."""
+    held = words.to_pylist()
+    new = np.fromiter((a != b for a, b in zip(held, [None, *held], strict=False)), bool, len(held))
+    return [w for w, first in zip(held, new, strict=True) if first], np.cumsum(new) - 1

@@ -1,7 +1,9 @@
 """Byte-level BPE: encoding by a global shuffle of distinct pre-tokens, decoding by the token-byte table.
 
-Texts become blocks of pre-token codes in order of position; each distinct pre-token goes to a bucket, is encoded there
-once, and its ids join back to the blocks, where documents are put together by position.
+Texts become sequences of pre-token codes in order of position. The distinct pre-tokens of every block are shuffled by
+pre-token, so that each of the corpus is encoded once, in a stream sorted by pre-token; its ids join back by block and
+code, and documents are put together by position. Decoding looks ids up in the token-byte table, which has the size of
+the vocabulary and goes to every task: a join whose small side is sent out.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm.blocks import BLOCK_BYTES, Blocks, Coder, block_rows, pack, unpack, unpack_words
-from plumbline.llm.common import rows_of
+from plumbline.llm.blocks import BLOCK_BYTES, Blocks, Coder, Documents, distinct_runs
+from plumbline.llm.common import durable, rows_of
 
-#: Distinct pieces of text, or words of a bucket, that a task remembers at once.
+#: Distinct pieces of text that a task remembers at once.
 _KNOWN = 200_000
 #: Pre-tokens of the documents that are put together at once.
 _ASSEMBLED = 400_000
@@ -90,60 +92,81 @@ def _reader(pattern: str):
     return reader
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, ids array<int>), a row for each row of docs.
-
-    Each match of pattern is encoded separately, without special tokens, as the tiktoken library would; null and empty
-    texts have no ids; repeated rows get a row each; an empty table gives no rows; other columns are ignored.
-    """
+def _blocks_and_values(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, block_bytes: int) -> tuple[Blocks, DataFrame]:
+    """The blocks of docs, and (block, code, ids) of their pre-tokens."""
     from pyspark.sql import functions as F
 
-    ranks = read_ranks(ranks_path)
-    held = docs.sparkSession.sparkContext.broadcast(ranks)  # bounded by the vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary
     blocks = Blocks(rows_of(docs, id_col, text_col).withColumn("learn", F.lit(False)), _reader(pattern), block_bytes)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held.value
         # A pre-token matches the pattern as a whole, so the ids of its bytes need no further split.
         whole = encoding(known, r"(?s).+")
-        done: dict[bytes, list[int]] = {}
-        for batch in batches:
-            out = []
-            for payload in batch.column(2):
-                ids = []
-                for word in unpack_words(payload.as_py()):
-                    if (found := done.get(word)) is None:
-                        found = [known[word]] if word in known else whole.encode_ordinary(word.decode("utf-8"))
-                        if len(done) >= _KNOWN:
-                            done.clear()
-                        done[word] = found
-                    ids.append(found)
-                lengths = pack(np.array([len(x) for x in ids], np.uint32))
-                out.append(len(lengths).to_bytes(8, "little") + lengths + pack(np.fromiter(chain.from_iterable(ids), np.uint32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids = None, None
         for batch in batches:
-            for ids, lengths, places, found in block_rows(batch):
-                cuts = [8 + int.from_bytes(f[:8], "little") for f in found]
-                n = np.concatenate([unpack(f[8:c]) for f, c in zip(found, cuts, strict=True)] or [np.zeros(0, np.uint32)]).astype(np.int64)
-                flat = np.concatenate([unpack(f[c:]) for f, c in zip(found, cuts, strict=True)] or [np.zeros(0, np.uint32)])
-                begins, bounds = np.cumsum(n) - n, np.concatenate([[0], np.cumsum(lengths)])
-                low = 0
-                while low < len(ids):  # some documents at a time, one at least
-                    high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + _ASSEMBLED, "right")) - 1)
-                    place = places[bounds[low] : bounds[high]]
-                    own = n[place]
-                    at = np.repeat(begins[place] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-                    ends = np.concatenate([[0], np.cumsum(own)])[bounds[low : high + 1] - bounds[low]]
-                    part = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at].astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([ids.slice(low, high - low), part], ["doc_id", "ids"])
-                    low = high
-
-    values = blocks.by_bucket(look_up, "block string, bucket int, payload binary")
+            words, place = distinct_runs(batch.column(2))
+            found = [ids if w == last else [known[w]] if w in known else whole.encode_ordinary(w.decode("utf-8")) for w in words]
+            if words:
+                last, ids = words[-1], found[-1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())).take(pa.array(place))], ["block", "code", "ids"])
+
+    ordered = blocks.words.select("block", "code", "word").repartition("word").sortWithinPartitions("word")
+    return blocks, ordered.mapInArrow(look_up, "block long, code int, ids array<int>")
+
+
+def _assembled(docs: Documents, values: pa.Table) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+    """(document ids, their token ids) of a block, some documents at a time."""
+    lists = values.column("ids").combine_chunks() if values.num_rows else pa.array([], pa.list_(pa.int32()))
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
+    code = np.array(values.column("code"), np.int64)
+    size, begin = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
+    flat = np.array(lists.flatten(), np.int32)
+    size[code] = own = np.array(lists.value_lengths(), np.int64)
+    begin[code] = np.cumsum(own) - own
+    for ids, lengths, codes in docs:
+        bounds, low = np.concatenate([[0], np.cumsum(lengths)]), 0
+        while low < len(ids):  # one long document may be more than a row holds else
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + _ASSEMBLED, "right")) - 1)
+            place = codes[bounds[low] : bounds[high]]
+            n = size[place]
+            at = np.repeat(begin[place] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            ends = np.concatenate([[0], np.cumsum(n)])[bounds[low : high + 1] - bounds[low]]
+            yield ids.slice(low, high - low), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[at]))
+            low = high
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, ids array<int>), a row for each row of docs.
+
+    Each match of pattern is encoded separately, without special tokens, as the tiktoken library would; null and empty
+    texts have no ids; repeated rows get a row each; an empty table gives no rows; other columns are ignored. The rows
+    are read from a table of blocks in the checkpoint folder, which stays there.
+    """
+    blocks, values = _blocks_and_values(docs, ranks_path, pattern, id_col, text_col, block_bytes)
+
+    def assemble(own: Documents, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        for ids, tokens in _assembled(own, found):
+            yield pa.RecordBatch.from_arrays([ids, tokens], ["doc_id", "ids"])
+
     return blocks.with_values(values, assemble, f"doc_id {blocks.id_type}, ids array<int>")
 
 
+def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """digests() of encode(), made where the documents are put together; written down, so that no blocks stay behind."""
+    blocks, values = _blocks_and_values(docs, ranks_path, pattern, id_col, text_col, block_bytes)
+    held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def assemble(own: Documents, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        digest = _digester(held.value)
+        for ids, tokens in _assembled(own, found):
+            yield digest(ids, tokens)
+
+    out = durable(blocks.with_values(values, assemble, f"doc_id {blocks.id_type}, {_DIGESTS}"))
+    blocks.drop()
+    return out
+
+
 def _byte_table(ranks: dict[bytes, int]) -> pa.Array:
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
@@ -174,19 +197,31 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, bytes binary")
 
 
+_DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _digester(ranks: dict[bytes, int]):
+    """From document ids and their token ids to a batch of digests()."""
+    table = _byte_table(ranks)
+    decimal = pa.array([b"%d," % i for i in range(len(table))], pa.large_binary())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+
+    def digest(doc_id: pa.Array, ids: pa.ListArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            doc_id, ids.value_lengths().fill_null(0).cast(pa.int64()),
+            pa.array([sha(x[:-1]) for x in _taken(decimal, ids)], pa.string()), pa.array([sha(x) for x in _taken(table, ids)], pa.string()),
+        ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest
+
+
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the rows of encode(): of the decimal ids and of the decoded bytes."""
     held = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _byte_table(held.value)
-        decimal = pa.array([b"%d," % i for i in range(len(table))], pa.large_binary())
-        sha = lambda x: hashlib.sha256(x).hexdigest()
+        digest = _digester(held.value)
         for batch in batches:
-            ids = batch.column(1)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), ids.value_lengths().fill_null(0).cast(pa.int64()),
-                pa.array([sha(x[:-1]) for x in _taken(decimal, ids)], pa.string()), pa.array([sha(x) for x in _taken(table, ids)], pa.string()),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield digest(batch.column(0), batch.column(1))
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, {_DIGESTS}")

@@ -1,24 +1,22 @@
 """Language-model scores by subword lattice: the marginal probability of a text over all of its segmentations.
 
 The pieces are those of an existing vocabulary; their unigram probabilities are learnt from the corpus. A piece begins
-with a space mark or holds none, so a text's lattice is a chain of its words' lattices: each distinct word is summed
-over once, by a forward recursion in log space, in the bucket that counts it, and documents add up their words.
+with a space mark or holds none, so a text's lattice is a chain of its words' lattices: each distinct word of the corpus is
+summed over once, by a forward recursion in log space, and documents add up their words.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.blocks import BLOCK_BYTES, Blocks, Coder, block_rows, unpack, unpack_words
-from plumbline.llm.common import fold
+from plumbline.llm.blocks import BLOCK_BYTES, Blocks, Coder, Documents
+from plumbline.llm.common import durable, fold
 from plumbline.llm.simhash import _word_runs
 
 #: The vocabulary's mark for the start of a word.
@@ -183,32 +181,16 @@ def _reader(coder: Coder):
     return read
 
 
-def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """(block, bucket, words, counts) of all blocks, bucket by bucket."""
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-    for _, of_bucket in groupby(rows, key=lambda r: r[1]):
-        yield list(of_bucket)
-
-
-def _totals(rows: list[tuple]) -> dict[bytes, int]:
-    total: dict[bytes, int] = {}
-    for _, _, words, counts in rows:
-        for word, n in zip(unpack_words(words), unpack(counts).tolist(), strict=True):
-            total[word] = total.get(word, 0) + n
-    return total
-
-
-def _expected(blocks: Blocks, pieces: list[str], held) -> np.ndarray:
+def _expected(totals: DataFrame, pieces: list[str], held) -> np.ndarray:
     """The expected count of each piece over the words that teach, under the lattice that `held` broadcasts."""
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(pieces))
-        for of_bucket in _bucket_rows(batches):
-            total = [(w.decode("utf-8"), n) for w, n in sorted(_totals(of_bucket).items()) if n]
-            counts += held.value.expect([w for w, _ in total], np.array([n for _, n in total], np.int64))
+        for batch in batches:
+            counts += held.value.expect([w.decode("utf-8") for w in batch.column(0).to_pylist()], np.array(batch.column(1), np.int64))
         yield from _slices(counts)
 
-    return _summed(blocks.by_bucket(expect, "slice int, payload binary"), len(pieces))
+    return _summed(totals.where("n > 0").mapInArrow(expect, "slice int, payload binary"), len(pieces))
 
 
 def _slices(counts: np.ndarray, size: int = 256) -> Iterator[pa.RecordBatch]:
@@ -238,70 +220,67 @@ def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str =
     learn: a condition on the columns of docs; its rows teach. Tokens are the words of the text, A-Z lower-cased, and one
     end. base_score: sum of log10((c + 1) / (N + V + 1)); score: log10 of the text's marginal probability over all
     segmentations, with its end. Pieces are counted in the vocabulary's own segmentation of the words that teach, then
-    `rounds` times by expectation over all segmentations. Null and empty texts are just an end. With nothing to learn from, pieces are equally
-    likely. Repeated rows get a row each and teach twice; an empty table gives no rows; other columns are ignored.
+    `rounds` times by expectation over all segmentations. Null and empty texts are just an end. With nothing to learn
+    from, pieces are equally likely. Repeated rows get a row each and teach twice; an empty table gives no rows; other
+    columns are ignored. The rows are written down, so that no blocks stay behind.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     blocks = Blocks(rows, _reader, block_bytes)
     ends = rows.where("learn").count()
     pieces = vocabulary(vocabulary_path)
+    # One row for each distinct word of the corpus; how often it teaches.
+    totals = durable(blocks.words.groupBy("word").agg(F.sum("learnt").alias("n")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of the words that teach: how often each piece is in them, then how many words there are and how many distinct."""
         sp = _processor(vocabulary_path)
         counts = np.zeros(len(pieces) + 2)
-        for of_bucket in _bucket_rows(batches):
-            total = [(w, n) for w, n in _totals(of_bucket).items() if n]
-            for at in range(0, len(total), 10_000):
-                some = total[at : at + 10_000]
-                ids = sp.encode([w.decode("utf-8") for w, _ in some], num_threads=1)
-                own = np.repeat([n for _, n in some], [len(i) for i in ids])
-                counts[:-2] += np.bincount([i for word in ids for i in word], own, len(pieces))
-            counts[-2:] += sum(n for _, n in total), len(total)
+        for batch in batches:
+            n = np.array(batch.column(1), np.int64)
+            ids = sp.encode([w.decode("utf-8") for w in batch.column(0).to_pylist()], num_threads=1)
+            counts[:-2] += np.bincount([i for word in ids for i in word], np.repeat(n, [len(i) for i in ids]), len(pieces))
+            counts[-2:] += n.sum(), len(n)
         yield from _slices(counts)
 
-    learnt = _summed(blocks.by_bucket(count, "slice int, payload binary"), len(pieces) + 2)
+    learnt = _summed(totals.where("n > 0").mapInArrow(count, "slice int, payload binary"), len(pieces) + 2)
     tokens, distinct = int(learnt[-2]) + ends, int(learnt[-1]) + (ends > 0)
     counts = np.where([bool(p) for p in pieces], learnt[:-2], 0.0)
     lattice = Lattice(pieces, counts, ends, smoothing)
     for _ in range(rounds if tokens else 0):
-        counts = _expected(blocks, pieces, spark.sparkContext.broadcast(lattice))
+        counts = _expected(totals, pieces, spark.sparkContext.broadcast(lattice))
         lattice = Lattice(pieces, counts, ends, smoothing)
     held = spark.sparkContext.broadcast(lattice)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for of_bucket in _bucket_rows(batches):
-            total = _totals(of_bucket)
-            place = {w: i for i, w in enumerate(total)}
-            logs = np.log10(np.fromiter(total.values(), np.int64, len(total)) + 1)
-            lps = (held.value.log_probabilities([w.decode("utf-8") for w in total]) / _LOG10).astype(np.float32)
-            out = []
-            for _, _, words, _ in of_bucket:
-                at = np.array([place[w] for w in unpack_words(words)], np.int64)
-                out.append(zstandard.ZstdCompressor(level=1).compress(logs[at].tobytes() + lps[at].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in of_bucket]), pa.array([r[1] for r in of_bucket], pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "payload"])
+        for batch in batches:
+            found = held.value.log_probabilities([w.decode("utf-8") for w in batch.column(0).to_pylist()]) / _LOG10
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.astype(np.float32))], ["word", "n", "lp"])
 
+    scored = totals.mapInArrow(score, "word binary, n long, lp float")
+    values = blocks.words.select("block", "code", "word").join(scored, "word").select("block", "code", "n", "lp")
     base = math.log10(tokens + distinct + 1)
     end_log, end_score = math.log10(ends + 1), lattice.end / _LOG10
 
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for ids, lengths, places, found in block_rows(batch):
-                raw = [zstandard.ZstdDecompressor().decompress(f) for f in found]
-                logs = np.concatenate([np.frombuffer(r, np.float64, len(r) // 12) for r in raw] or [np.zeros(0)])
-                lps = np.concatenate([np.frombuffer(r, np.float32, len(r) // 12, len(r) // 12 * 8) for r in raw] or [np.zeros(0)]).astype(np.float64)
-                doc = np.repeat(np.arange(len(ids)), lengths)
-                add = lambda x: np.bincount(doc, x[places], minlength=len(ids))
-                n = lengths + 1
-                known = add((logs > 0).astype(float)).astype(np.int64) + (ends > 0)
-                yield pa.RecordBatch.from_arrays([
-                    ids, pa.array(n), pa.array(known), pa.array(np.full(len(ids), tokens, np.int64)),
-                    pa.array(add(logs) + end_log - n * base), pa.array(add(lps) + end_score),
-                ], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    values = blocks.by_bucket(score, "block string, bucket int, payload binary")
-    return blocks.with_values(values, assemble, f"doc_id {blocks.id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def assemble(own: Documents, found: pa.Table) -> Iterator[pa.RecordBatch]:
+        code = np.array(found.column("code"), np.int64)
+        logs, lps = np.zeros(len(code)), np.zeros(len(code))
+        logs[code] = np.log10(np.array(found.column("n"), np.float64) + 1)
+        lps[code] = np.array(found.column("lp"), np.float64)
+        for ids, lengths, codes in own:
+            doc = np.repeat(np.arange(len(ids)), lengths)
+            add = lambda x: np.bincount(doc, x[codes], minlength=len(ids))  # noqa: B023, E731
+            n = lengths + 1
+            known = add((logs > 0).astype(float)).astype(np.int64) + (ends > 0)
+            yield pa.RecordBatch.from_arrays([
+                ids, pa.array(n), pa.array(known), pa.array(np.full(len(ids), tokens, np.int64)),
+                pa.array(add(logs) + end_log - n * base), pa.array(add(lps) + end_score),
+            ], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = f"doc_id {blocks.id_type}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    out = durable(blocks.with_values(values, assemble, schema))
+    blocks.drop()
+    return out
 
 
 def score_report(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2) -> DataFrame:

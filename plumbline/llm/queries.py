@@ -32,7 +32,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizers()
     ranks = files.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), ranks, files.PATTERN), ranks)
+    return bpe.encoded_digests(table(spark, sf_dir, "documents"), ranks, files.PATTERN)
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as files
 import pytest
 from hypothesis import given, settings
@@ -26,9 +27,10 @@ def test_pack_round_trip(values):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.binary(max_size=20)))
-def test_pack_words_round_trip(words):
-    assert blocks.unpack_words(blocks.pack_words(words)) == words
+@given(st.lists(st.binary(max_size=2)))
+def test_sorted_words_and_their_places(words):
+    own, place = blocks.distinct_runs(pa.array(sorted(words), pa.binary()))
+    assert own == sorted(set(words)) and [own[i] for i in place] == sorted(words)
 
 
 @settings(max_examples=150, deadline=None)
@@ -49,6 +51,22 @@ def test_encode_and_decode_odd_texts(odd, nothing, block_bytes):
     decoded = sorted((-1 if r.doc_id is None else r.doc_id, bytes(r.bytes)) for r in bpe.decode(encoded, RANKS).collect())
     assert decoded == sorted((-1 if i is None else i, (t or "").encode()) for i, t in ODD)
     assert bpe.encode(nothing, RANKS, files.PATTERN).count() == 0
+    digests = lambda df: sorted(((-1 if r.doc_id is None else r.doc_id, *tuple(r)[1:]) for r in df.collect()))
+    assert digests(bpe.encoded_digests(odd, RANKS, files.PATTERN, block_bytes=block_bytes)) == digests(bpe.digests(encoded, RANKS))
+
+
+def test_each_distinct_word_is_encoded_once_and_no_table_stays(spark, odd, monkeypatch):
+    tables = lambda: {t.name for t in spark.catalog.listTables("plumbline_blocks")}
+    bpe.encode(odd, RANKS, files.PATTERN, block_bytes=100)
+    before = tables()
+    made, values = bpe._blocks_and_values(odd, RANKS, files.PATTERN, "doc_id", "text", 100)
+    rows = made.words.collect()
+    assert len({r.block for r in rows}) > 3 and len(rows) > len({bytes(r.word) for r in rows})
+    places = values.collect()
+    assert len(places) == len(rows) == len({(r.block, r.code) for r in places})
+    made.drop()
+    bpe.encoded_digests(odd, RANKS, files.PATTERN)
+    assert tables() == before
 
 
 def test_digests_of_documents_match_the_library(spark, sf):
@@ -112,6 +130,21 @@ def test_scores_of_odd_texts_match_brute_force(odd, nothing):
     want = sorted((i, len(ts), sum(counts[x] > 0 for x in ts), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in ts), 5)) for i, ts in tokens)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found) == want
     assert all(r.score < 0 for r in found)
+    # The marginal probability of a text is that of its words by brute force, under the model that the words teach.
+    pieces, words = lattice.vocabulary(PIECES), Counter(x.decode() for x, n in counts.items() if x is not None for _ in range(n))
+    sp = lattice._processor(PIECES)
+    own = np.zeros(len(pieces))
+    for w, n in words.items():
+        for i in sp.encode(w):
+            own[i] += n
+    ends = counts[None]
+    model = lattice.Lattice(pieces, np.where([bool(p) for p in pieces], own, 0.0), ends)
+    model = lattice.Lattice(pieces, model.expect(list(words), np.array(list(words.values()))), ends)
+    short = {i: ts for i, ts in tokens if len(ts) < 20 and all(len(x) < 12 for x in ts[:-1])}
+    got = {-1 if r.doc_id is None else r.doc_id: r.score for r in found}
+    assert len(short) > 6
+    for i, ts in short.items():
+        assert got[i] == pytest.approx((sum(_brute_word(model, x.decode()) for x in ts[:-1]) + model.end) / math.log(10), abs=1e-4)
     assert lattice.score_documents(nothing, PIECES, F.lit(True)).count() == 0
 
 
