@@ -23,7 +23,9 @@ from plumbline.llm.common import checkpoint_dir
 
 #: Bytes of text after which a block is closed, distinct words after which it is too, codes in a row of documents.
 BLOCK_BYTES, _WORDS, _CODES = 32 << 20, 1_000_000, 400_000
-_LEVEL = 3
+_LEVEL = 9
+#: Bits of a word's code in a place; above them the block's number in its task, then the task.
+_CODE_BITS, _NUMBER_BITS = 28, 12
 #: Rows in a batch of words.
 _BATCH = 20_000
 
@@ -66,8 +68,8 @@ Documents = Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]
 class Blocks:
     """The blocks of docs, whose columns must be (doc_id, text, learn); learn: whether the words count.
 
-    words: block, word, code, learnt (how often the block's learning documents have the word). The table stays until
-    drop(), which must wait until what is made of it has been written.
+    words: place (block and code in one number), word, learnt (how often the block's learning documents have the word).
+    The table stays until drop(), which must wait until what is made of it has been written.
     """
 
     def __init__(self, docs: DataFrame, reader: Reader, block_bytes: int = BLOCK_BYTES):
@@ -75,24 +77,26 @@ class Blocks:
         self.id_type = docs.schema["doc_id"].dataType.simpleString()
         self.name = f"plumbline_blocks.b{uuid.uuid4().hex}"
         self.spark.sql(f"CREATE DATABASE IF NOT EXISTS plumbline_blocks LOCATION '{checkpoint_dir(self.spark)}/plumbline_blocks'")
-        schema = f"block long, word binary, code int, learnt long, ids array<{self.id_type}>, lengths binary, codes binary"
+        schema = f"block long, word binary, place long, learnt long, ids array<{self.id_type}>, lengths binary, codes binary"
         made = docs.select("doc_id", "text", "learn").mapInArrow(_cut(reader, block_bytes), schema)
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         made.write.bucketBy(buckets, "block").option("compression", "zstd").saveAsTable(self.name)
         table = self.spark.table(self.name)
-        self.words = table.where("word is not null").select("block", "word", "code", "learnt")
+        self.words = table.where("word is not null").select("place", "word", "learnt")
         self.docs = table.where("word is null").select("block", "ids", "lengths", "codes")
 
     def with_values(self, values: DataFrame, run: Callable[[Documents, pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-        """What run makes of the documents of each block and its values (block, code, ...), a row for each code."""
+        """What run makes of the documents of each block and its values (code, ...), from rows (place, ...) of all words."""
 
         def both(docs: pa.Table, found: pa.Table) -> pa.Table:
             own = ((ids.values, unpack(lengths).astype(np.int64), unpack(codes)) for ids, lengths, codes in zip(
                 docs.column("ids"), (x.as_py() for x in docs.column("lengths")), (x.as_py() for x in docs.column("codes")), strict=True))
             return pa.Table.from_batches(run(own, found.combine_chunks()))
 
-        rest = [c for c in values.columns if c != "block"]
-        return self.docs.groupBy("block").cogroup(values.select(F.col("block").alias("of"), *rest).groupBy("of")).applyInArrow(both, schema)
+        rest = [c for c in values.columns if c != "place"]
+        code = F.col("place").bitwiseAND(F.lit((1 << _CODE_BITS) - 1)).cast("int").alias("code")
+        placed = values.select(F.shiftright("place", _CODE_BITS).alias("of"), code, *rest)
+        return self.docs.groupBy("block").cogroup(placed.groupBy("of")).applyInArrow(both, schema)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -102,7 +106,7 @@ def _cut(reader: Reader, block_bytes: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names = ["block", "word", "code", "learnt", "ids", "lengths", "codes"]
+        names = ["block", "word", "place", "learnt", "ids", "lengths", "codes"]
         part, number, id_type = TaskContext.get().partitionId(), 0, pa.int64()
         coder, held, size, waiting = Coder(), [], 0, 0
         read, learnt = reader(coder), np.zeros(0, np.int64)
@@ -118,20 +122,22 @@ def _cut(reader: Reader, block_bytes: int) -> Callable:
             ids = pa.array([pa.array([d for d, _, _ in held], id_type)], pa.list_(id_type))
             held.clear()
             waiting = 0
-            block = pa.array([part << 32 | number], pa.int64())
-            return pa.RecordBatch.from_arrays([block, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), ids, pa.array([pack(lengths)]), pa.array([pack(codes)])], names)
+            block = pa.array([part << _NUMBER_BITS | number], pa.int64())
+            return pa.RecordBatch.from_arrays([block, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), ids, pa.array([pack(lengths)]), pa.array([pack(codes)])], names)
 
         def close() -> Iterator[pa.RecordBatch]:
             """What waits, and the block's words in order."""
             if held:
                 yield row()
-            words = list(coder)
+            words, block = list(coder), part << _NUMBER_BITS | number
+            if number >> _NUMBER_BITS or len(words) >> _CODE_BITS:
+                raise ValueError("a task has too many blocks, or a block too many words, for one number")
             order = sorted(range(len(words)), key=words.__getitem__)
             for at in range(0, len(order), _BATCH):
                 own = order[at : at + _BATCH]
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, part << 32 | number, np.int64)), pa.array([words[i] for i in own], pa.binary()), pa.array(own, pa.int32()), pa.array(learnt[own]),
+                    pa.array(np.full(n, block, np.int64)), pa.array([words[i] for i in own], pa.binary()), pa.array(np.array(own, np.int64) | block << _CODE_BITS), pa.array(learnt[own]),
                     pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 ], names)
 

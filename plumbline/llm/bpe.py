@@ -93,7 +93,7 @@ def _reader(pattern: str):
 
 
 def _blocks_and_values(docs: DataFrame, ranks_path: str, pattern: str, id_col: str, text_col: str, block_bytes: int) -> tuple[Blocks, DataFrame]:
-    """The blocks of docs, and (block, code, ids) of their pre-tokens."""
+    """The blocks of docs, and (place, ids) of their pre-tokens, ids as binary numbers of _width() bytes."""
     from pyspark.sql import functions as F
 
     held = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))  # bounded by the vocabulary
@@ -103,27 +103,32 @@ def _blocks_and_values(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
         known = held.value
         # A pre-token matches the pattern as a whole, so the ids of its bytes need no further split.
         whole = encoding(known, r"(?s).+")
-        last, ids = None, None
+        last, ids, kind = None, None, _width(known)
         for batch in batches:
-            words, place = distinct_runs(batch.column(2))
-            found = [ids if w == last else [known[w]] if w in known else whole.encode_ordinary(w.decode("utf-8")) for w in words]
+            words, place = distinct_runs(batch.column(1))
+            found = [ids if w == last else np.array([known[w]] if w in known else whole.encode_ordinary(w.decode("utf-8")), kind).tobytes() for w in words]
             if words:
                 last, ids = words[-1], found[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32())).take(pa.array(place))], ["block", "code", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()).take(pa.array(place))], ["place", "ids"])
 
-    ordered = blocks.words.select("block", "code", "word").repartition("word").sortWithinPartitions("word")
-    return blocks, ordered.mapInArrow(look_up, "block long, code int, ids array<int>")
+    ordered = blocks.words.select("place", "word").repartition("word").sortWithinPartitions("word")
+    return blocks, ordered.mapInArrow(look_up, "place long, ids binary")
 
 
-def _assembled(docs: Documents, values: pa.Table) -> Iterator[tuple[pa.Array, pa.ListArray]]:
+def _width(ranks: dict[bytes, int]) -> str:
+    """The smallest kind of number that holds every id."""
+    return "<u2" if max(ranks.values(), default=0) < 1 << 16 else "<u4"
+
+
+def _assembled(docs: Documents, values: pa.Table, kind: str) -> Iterator[tuple[pa.Array, pa.ListArray]]:
     """(document ids, their token ids) of a block, some documents at a time."""
-    lists = values.column("ids").combine_chunks() if values.num_rows else pa.array([], pa.list_(pa.int32()))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) and lists.num_chunks else lists
-    code = np.array(values.column("code"), np.int64)
+    code, wide = np.array(values.column("code"), np.int64), np.dtype(kind).itemsize
     size, begin = np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)
-    flat = np.array(lists.flatten(), np.int32)
-    size[code] = own = np.array(lists.value_lengths(), np.int64)
+    held = values.column("ids").to_pylist()
+    flat = np.frombuffer(b"".join(held), kind).astype(np.int32)
+    size[code] = own = np.fromiter(map(len, held), np.int64, len(held)) // wide
     begin[code] = np.cumsum(own) - own
+    del held
     for ids, lengths, codes in docs:
         bounds, low = np.concatenate([[0], np.cumsum(lengths)]), 0
         while low < len(ids):  # one long document may be more than a row holds else
@@ -145,8 +150,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """
     blocks, values = _blocks_and_values(docs, ranks_path, pattern, id_col, text_col, block_bytes)
 
+    kind = _width(read_ranks(ranks_path))
+
     def assemble(own: Documents, found: pa.Table) -> Iterator[pa.RecordBatch]:
-        for ids, tokens in _assembled(own, found):
+        for ids, tokens in _assembled(own, found, kind):
             yield pa.RecordBatch.from_arrays([ids, tokens], ["doc_id", "ids"])
 
     return blocks.with_values(values, assemble, f"doc_id {blocks.id_type}, ids array<int>")
@@ -159,7 +166,7 @@ def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def assemble(own: Documents, found: pa.Table) -> Iterator[pa.RecordBatch]:
         digest = _digester(held.value)
-        for ids, tokens in _assembled(own, found):
+        for ids, tokens in _assembled(own, found, _width(held.value)):
             yield digest(ids, tokens)
 
     out = durable(blocks.with_values(values, assemble, f"doc_id {blocks.id_type}, {_DIGESTS}"))

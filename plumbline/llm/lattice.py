@@ -258,7 +258,7 @@ def score_documents(docs: DataFrame, vocabulary_path: str, learn, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.astype(np.float32))], ["word", "n", "lp"])
 
     scored = totals.mapInArrow(score, "word binary, n long, lp float")
-    values = blocks.words.select("block", "code", "word").join(scored, "word").select("block", "code", "n", "lp")
+    values = blocks.words.select("place", "word").join(scored, "word").select("place", "n", "lp")
     base = math.log10(tokens + distinct + 1)
     end_log, end_score = math.log10(ends + 1), lattice.end / _LOG10
 

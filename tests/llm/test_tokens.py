@@ -61,9 +61,9 @@ def test_each_distinct_word_is_encoded_once_and_no_table_stays(spark, odd, monke
     before = tables()
     made, values = bpe._blocks_and_values(odd, RANKS, files.PATTERN, "doc_id", "text", 100)
     rows = made.words.collect()
-    assert len({r.block for r in rows}) > 3 and len(rows) > len({bytes(r.word) for r in rows})
+    assert len({r.place >> 28 for r in rows}) > 3 and len(rows) > len({bytes(r.word) for r in rows})
     places = values.collect()
-    assert len(places) == len(rows) == len({(r.block, r.code) for r in places})
+    assert len(places) == len(rows) and {r.place for r in places} == {r.place for r in rows}
     made.drop()
     bpe.encoded_digests(odd, RANKS, files.PATTERN)
     assert tables() == before
@@ -245,3 +245,13 @@ def test_plan_fills_slots_without_gaps_and_as_best_fit_would(histogram):
 def test_packing_of_documents_is_near_the_lower_bound(spark, sf):
     rows = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), JSON, files.PATTERN).collect()
     assert _check_packing(rows, 2048) <= 1.02 * sum(r.length for r in rows) / 2048 + 1
+
+
+def test_packing_ranks_many_pieces_of_one_length_in_shares_of_shares(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_RANKED", 3)
+    monkeypatch.setattr(packing, "_SUMMED", 2)
+    docs = spark.createDataFrame([(i, "word " * (3 if i % 4 else 20)) for i in range(160)], "doc_id long, text string").repartition(5)
+    rows = packing.pack_documents(docs, JSON, files.PATTERN, size=16).collect()
+    lengths = Counter(r.length for r in rows)
+    assert max(lengths.values()) >= 120 and len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+    assert _check_packing(rows, 16) == packing.plan_slots(dict(lengths), 16)[1]
