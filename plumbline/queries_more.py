@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as fx
-from plumbline.operators import forms, integrity, jobs, reports, rules, scoring, sequences, spatial
+from plumbline.operators import citations, forms, integrity, jobs, reports, rules, scoring, sequences, spatial
 from plumbline.plans.algebra import Aggregate, Compare, Region, Select
 from plumbline.plans.compile import Answer, compile_plan, result_determinism
 from plumbline.queries import _JUDGED, _PLACED, _POINTS, _grids
@@ -130,6 +130,35 @@ def page_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", F.size("n").cast("long").alias("n_numbers"), F.array_join("n", " ").alias("numbers"))
 
 
+_NUMBERS = r"list_transform(regexp_extract_all({x}, '\d[\d,]*\.?\d*'), lambda n: replace(n, ',', ''))"
+
+
+@_query(f"""WITH n AS (SELECT page_id, {_NUMBERS.format(x='url')} AS g, {_NUMBERS.format(x="html || ' ' || CAST(page_id * 3 AS VARCHAR) || '. of 1,' || CAST(100 + page_id % 900 AS VARCHAR)")} AS t FROM pages)
+SELECT page_id, CASE WHEN len(g) > 0 THEN list_has_any(g, t) END AS hit FROM n""")
+def page_gold_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of a page's address, looked for among those of its text, some with commas or a sentence's dot."""
+    i = F.col("page_id")
+    text = F.concat("html", F.lit(" "), (i * 3).cast("string"), F.lit(". of 1,"), (100 + i % 900).cast("string"))
+    return table(spark, sf_dir, "pages").select("page_id", fx.gold_hit(F.col("url"), text).alias("hit"))
+
+
+@_query(f"""WITH r AS (SELECT page_id, 'It is ' || CAST(page_id % 40 + 800 AS VARCHAR) || ', says ' || url || ' and ' || url || ' of 1,200.' AS body FROM pages),
+u AS (SELECT url, any_value(CASE WHEN page_id % 5 = 0 THEN '{citations.FAILED}' ELSE url || html || ' 1,2' || CAST(page_id % 3 AS VARCHAR) || '00' END) AS page FROM pages WHERE page_id % 3 <> 0 GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT page_id, body, unnest(regexp_extract_all(body, '{_LINK}')) AS url, unnest(range(len(regexp_extract_all(body, '{_LINK}')))) AS pos FROM r),
+j AS (SELECT c.*, coalesce(replace(page, ',', ''), '') AS plain FROM c LEFT JOIN u USING (url))
+SELECT page_id, CAST(pos AS INTEGER) AS pos, left(url, 160) AS url, NOT starts_with(plain, '{citations.FAILED}') AS resolves,
+CASE WHEN starts_with(plain, '{citations.FAILED}') THEN '' ELSE coalesce(list_aggregate(list_slice(list_filter({_NUMBERS.format(x='body')}, lambda n: length(n) >= 3 AND contains(plain, n)), 1, 4), 'string_agg', ';'), '') END AS numbers FROM j""")
+def page_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that cite a page twice, with numbers that its own text may have; some pages failed or were never fetched."""
+    i, url = F.col("page_id"), F.col("url")
+    pages = table(spark, sf_dir, "pages")
+    runs = pages.select("page_id", F.concat(F.lit("It is "), (i % 40 + 800).cast("string"), F.lit(", says "), url, F.lit(" and "), url, F.lit(" of 1,200.")).alias("body"))
+    body = F.when(i % 5 == 0, F.lit(citations.FAILED)).otherwise(F.concat(url, F.col("html"), F.lit(" 1,2"), (i % 3).cast("string"), F.lit("00")))
+    known = pages.where("page_id % 3 <> 0").groupBy("url").agg(F.first(body).alias("body"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    found = citations.citations(runs, known, ["page_id"])
+    return found.withColumn("numbers", F.array_join("numbers", ";"))
+
+
 _SAID = "SELECT conv_id, turn, replace(replace(replace(text, 'ou', 'which'), 'pa.', 'pa?'), 'la', 'not available') AS text FROM conversations"
 _ASK = r"(?i)(which|what|where|could you|can you|please (tell|share|clarify)|need to know)[^.]{0,60}\?"
 _LACK = r"(?i)(not (publicly )?(available|collected|published)|no (official|public) (data|source|statistics)|does ?n.t exist|couldn.t find|could not find|isn.t tracked|not tracked)"
@@ -243,8 +272,8 @@ def serial_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_orderkey", "l_linenumber", "mismatch").agg(F.count(F.lit(1)).alias("n"))
 
 
-@_query("""SELECT l_orderkey, l_linenumber, count(*) AS n, sum(CASE WHEN regexp_matches(q, '^[0-9]+([.,][0-9]+)?$') AND CAST(replace(q, ',', '.') AS DOUBLE) BETWEEN 5 AND 40 AND (CAST(replace(q, ',', '.') AS DOUBLE) % 1 = 0) OR q = '' THEN 1 ELSE 0 END) AS in_range,
-sum(CASE WHEN q = '' OR lower(f) IN ('a', 'r') THEN 1 ELSE 0 END) AS in_domain FROM (SELECT *, CASE WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 5 = 0 THEN replace(CAST(l_quantity + 0.5 AS VARCHAR), '.', ',') ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS q, l_returnflag AS f FROM lineitem) GROUP BY 1, 2""")
+@_query("""SELECT l_orderkey, l_linenumber, count(*) AS n, CAST(sum(CASE WHEN regexp_matches(q, '^[0-9]+([.,][0-9]+)?$') AND CAST(replace(q, ',', '.') AS DOUBLE) BETWEEN 5 AND 40 AND (CAST(replace(q, ',', '.') AS DOUBLE) % 1 = 0) OR q = '' THEN 1 ELSE 0 END) AS BIGINT) AS in_range,
+CAST(sum(CASE WHEN q = '' OR lower(f) IN ('a', 'r') THEN 1 ELSE 0 END) AS BIGINT) AS in_domain FROM (SELECT *, CASE WHEN l_partkey % 7 = 0 THEN '' WHEN l_partkey % 5 = 0 THEN replace(CAST(l_quantity + 0.5 AS VARCHAR), '.', ',') ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS q, l_returnflag AS f FROM lineitem) GROUP BY 1, 2""")
 def value_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities against a range of whole numbers, flags against a domain, empty cells allowed in both."""
     part = F.col("l_partkey")
