@@ -1,9 +1,10 @@
 """Documents as sequences of word codes, and values of distinct words joined back to them.
 
 A task cuts its documents into blocks. Of each block it writes its documents as codes in order of position, some documents
-a row, and one plain row for each of its distinct words. Word rows are shuffled by word: every distinct word of the corpus
-comes to one place, where it is worked out once in a stream sorted by word, so nothing there grows with a bucket. Values go
-back as rows of block and code and meet the documents of their block in a cogroup. Documents wait in a table that is
+a row, and one plain row for each of its distinct words. Word rows are shuffled by ranges of words: every distinct word of
+the corpus comes to one place, where it is worked out once in a stream sorted by word, so nothing there grows with a bucket.
+Values go back as rows of block and code and meet the documents of their block in a cogroup. Rows leave a block in the
+order of words, and their codes count in that order, as neighbours that are alike take little room in a shuffle. Documents wait in a table that is
 bucketed by block, so they are written once and never shuffled; what crosses the network is the distinct words of each
 block, not every occurrence.
 """
@@ -51,6 +52,15 @@ def unpack(packed: bytes) -> np.ndarray:
     return values
 
 
+def _pack_order(order: np.ndarray) -> bytes:
+    """Numbers in no order, as compressed planes of bytes."""
+    return zstandard.ZstdCompressor(level=_LEVEL).compress(order.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack_order(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
+
+
 class Coder(dict):
     """word -> its number in the block, in order of appearance."""
 
@@ -89,8 +99,10 @@ class Blocks:
         """What run makes of the documents of each block and its values (code, ...), from rows (place, ...) of all words."""
 
         def both(docs: pa.Table, found: pa.Table) -> pa.Table:
-            own = ((ids.values, unpack(lengths).astype(np.int64), unpack(codes)) for ids, lengths, codes in zip(
-                docs.column("ids"), (x.as_py() for x in docs.column("lengths")), (x.as_py() for x in docs.column("codes")), strict=True))
+            rows = list(zip(docs.column("ids"), *(docs.column(c).to_pylist() for c in ("lengths", "codes")), strict=True))
+            # The row without documents tells the place of each code, given as words appeared, in the order of words.
+            place = _unpack_order(next(codes for ids, _, codes in rows if not ids.is_valid))
+            own = ((ids.values, unpack(lengths).astype(np.int64), place[unpack(codes)]) for ids, lengths, codes in rows if ids.is_valid)
             return pa.Table.from_batches(run(own, found.combine_chunks()))
 
         rest = [c for c in values.columns if c != "place"]
@@ -109,11 +121,11 @@ def _cut(reader: Reader, block_bytes: int) -> Callable:
         names = ["block", "word", "place", "learnt", "ids", "lengths", "codes"]
         part, number, id_type = TaskContext.get().partitionId(), 0, pa.int64()
         coder, held, size, waiting = Coder(), [], 0, 0
-        read, learnt = reader(coder), np.zeros(0, np.int64)
+        read, learnt, begun = reader(coder), np.zeros(0, np.int64), False
 
         def row() -> pa.RecordBatch:
             """The documents that wait, as one row."""
-            nonlocal learnt, waiting
+            nonlocal learnt, waiting, begun
             codes = np.concatenate([c for _, c, _ in held])
             taught = [c for _, c, learn in held if learn]
             counts = np.bincount(np.concatenate(taught), minlength=len(coder)) if taught else np.zeros(len(coder), np.int64)
@@ -121,7 +133,7 @@ def _cut(reader: Reader, block_bytes: int) -> Callable:
             learnt, lengths = counts, np.array([len(c) for _, c, _ in held], np.uint32)
             ids = pa.array([pa.array([d for d, _, _ in held], id_type)], pa.list_(id_type))
             held.clear()
-            waiting = 0
+            waiting, begun = 0, True
             block = pa.array([part << _NUMBER_BITS | number], pa.int64())
             return pa.RecordBatch.from_arrays([block, pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), ids, pa.array([pack(lengths)]), pa.array([pack(codes)])], names)
 
@@ -132,12 +144,18 @@ def _cut(reader: Reader, block_bytes: int) -> Callable:
             words, block = list(coder), part << _NUMBER_BITS | number
             if number >> _NUMBER_BITS or len(words) >> _CODE_BITS:
                 raise ValueError("a task has too many blocks, or a block too many words, for one number")
-            order = sorted(range(len(words)), key=words.__getitem__)
+            order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            if begun:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block], pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(id_type)), pa.nulls(1, pa.binary()), pa.array([_pack_order(place)]),
+                ], names)
             for at in range(0, len(order), _BATCH):
                 own = order[at : at + _BATCH]
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(n, block, np.int64)), pa.array([words[i] for i in own], pa.binary()), pa.array(np.array(own, np.int64) | block << _CODE_BITS), pa.array(learnt[own]),
+                    pa.array(np.full(n, block, np.int64)), pa.array([words[i] for i in own.tolist()], pa.binary()), pa.array(np.arange(at, at + n) | block << _CODE_BITS), pa.array(learnt[own]),
                     pa.nulls(n, pa.list_(id_type)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()),
                 ], names)
 
@@ -152,7 +170,7 @@ def _cut(reader: Reader, block_bytes: int) -> Callable:
                 if size >= block_bytes or len(coder) >= _WORDS:
                     yield from close()
                     coder, size, number = Coder(), 0, number + 1
-                    read, learnt = reader(coder), np.zeros(0, np.int64)
+                    read, learnt, begun = reader(coder), np.zeros(0, np.int64), False
         yield from close()
 
     return run

@@ -111,7 +111,7 @@ def _blocks_and_values(docs: DataFrame, ranks_path: str, pattern: str, id_col: s
                 last, ids = words[-1], found[-1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()).take(pa.array(place))], ["place", "ids"])
 
-    ordered = blocks.words.select("place", "word").repartition("word").sortWithinPartitions("word")
+    ordered = blocks.words.select("place", "word").repartitionByRange("word").sortWithinPartitions("word")
     return blocks, ordered.mapInArrow(look_up, "place long, ids binary")
 
 
