@@ -204,12 +204,15 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sample = keyed.where(sample_rule(keyed, "lang", sample_docs, sample_bytes)).dropDuplicates(["lang", "sample_key"])
     # A bounded sample is counted in a few tasks, so that the tables which they send on are few as well.
     counted = sample.select("lang", "text").coalesce(_SAMPLE_TASKS).mapInArrow(count, "lang string, length int, gram long, n long")
-    got = counted.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toPandas()
-    if got.empty:
+    got = counted.groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow()
+    if not got.num_rows:
         return None
-    languages = sorted(got["lang"].unique())
-    number = got["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()
-    return PPM.fit(languages, number, got["length"].to_numpy(), got["gram"].to_numpy(), got["n"].to_numpy())
+    named = got.column("lang").combine_chunks()
+    named = (named.chunk(0) if isinstance(named, pa.ChunkedArray) else named).dictionary_encode()
+    found = named.dictionary.to_pylist()
+    languages = sorted(found)
+    number = np.array([languages.index(x) for x in found])[np.array(named.indices)]
+    return PPM.fit(languages, number, *(np.array(got.column(c)) for c in ("length", "gram", "n")))
 
 
 def identify(docs: DataFrame, model: PPM | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
