@@ -10,11 +10,14 @@ that a record begins with, as a payload is cut inside each place where it occurs
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from plumbline.llm.common import checkpoint_dir, durable
 from plumbline.llm.exact_dedup import digest_filter, may_hold
@@ -75,6 +78,13 @@ def _named(records: DataFrame, again: DataFrame) -> DataFrame:
     return named.join(again, same, "left_anti").unionByName(repeated.withColumn("record_id", F.concat("record_id", suffix)).drop("turn"))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _cuts(payloads: pd.Series) -> pd.Series:
+    """Where a payload is cut so that no chunk has a whole version mark: two bytes into each, in one pass."""
+    mark = re.compile(re.escape(_MARK.encode()))
+    return payloads.map(lambda p: [] if p is None else [m.start() + 2 for m in mark.finditer(p)])
+
+
 def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, again: DataFrame | None = None) -> DataFrame:
     """The records as rows of record_id, chunk_no (from 1), chunks and chunk; a revisit has one empty chunk.
 
@@ -85,16 +95,14 @@ def chunk_rows(records: DataFrame, chunk_bytes: int = 1 << 18, again: DataFrame
     """
     revisit = F.col("record_type") == "revisit"
     size = F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("int")
-    # Where a payload has version marks, pieces end two bytes into each of them; only their lengths are kept.
-    text = F.decode(F.col("payload"), "ISO-8859-1")
-    lengths = F.transform(F.split(text, f"(?<={_MARK[:2]})(?={_MARK[2:]})", -1), lambda piece: F.length(piece))
+    # Where a payload has version marks, pieces end two bytes into each of them; only such payloads go to Python.
     marked = ~revisit & (F.instr(F.col("payload").cast("string"), _MARK) > 0)
-    pieces = F.when(marked, lengths).otherwise(F.array(size))
+    cuts = F.when(marked, _cuts(F.when(marked, F.col("payload")))).otherwise(F.array().cast("array<int>"))
+    pieces = F.arrays_zip(F.concat(F.array(F.lit(0)), cuts).alias("at"), F.concat(cuts, F.array(size)).alias("end"))
     # (first byte, length) of every chunk: each piece by size, one empty chunk for nothing.
-    begins = F.transform(pieces, lambda n, i: F.struct(F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda a, x: a + x).alias("at"), n.alias("n")))
-    spans = F.flatten(F.transform(F.when(marked, begins).otherwise(F.array(F.struct(F.lit(0).alias("at"), size.alias("n")))), lambda p: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.ceil(p["n"] / chunk_bytes).cast("int") - 1, F.lit(0))),
-        lambda k: F.struct((p["at"] + k * chunk_bytes).alias("at"), F.least(F.lit(chunk_bytes), p["n"] - k * chunk_bytes).alias("n")),
+    spans = F.flatten(F.transform(pieces, lambda p: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.ceil((p["end"] - p["at"]) / chunk_bytes).cast("int") - 1, F.lit(0))),
+        lambda k: F.struct((p["at"] + k * chunk_bytes).alias("at"), F.least(F.lit(chunk_bytes), p["end"] - p["at"] - k * chunk_bytes).alias("n")),
     )))
     placed = _named(records, repeated_ids(records) if again is None else again).select("page_id", "record_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", spans.alias("spans"))
     rows = placed.select("*", F.size("spans").alias("chunks"), F.posexplode("spans").alias("k", "span"))
@@ -200,7 +208,9 @@ def archive_round_trip(pages: DataFrame, path: str, id_col: str = "page_id", pay
     own = lambda c: F.regexp_extract(c, "^([^:]*)", 1)
     as_id = lambda c: F.when(own(c) != "~", F.url_decode(own(c))).cast(kind)
     responses = records.where("record_type = 'response'").select(F.col("record_id").alias("to_id"), F.col("payload_digest").alias("digest"), F.col("payload_bytes").alias("bytes"))
-    joined = records.join(responses, (F.col("record_type") == "revisit") & (F.col("refers_to") == F.col("to_id")), "left")
+    # Responses refer to nothing and stay out of the join, in which they would all share one null key.
+    revisits = records.where("record_type = 'revisit'").join(responses, F.col("refers_to") == F.col("to_id"), "left")
+    joined = revisits.unionByName(records.where("record_type = 'response'"), allowMissingColumns=True)
     digest = F.when(F.col("record_type") == "revisit", F.col("digest")).otherwise(F.col("payload_digest"))
     checked = F.when(digest == F.col("header_digest"), digest).otherwise(F.raise_error(F.concat(F.lit("payload of another digest than its header says: "), "record_id")))
     size = F.when(F.col("record_type") == "revisit", F.col("bytes")).otherwise(F.col("payload_bytes"))

@@ -396,3 +396,14 @@ def test_many_rule_shapes_make_no_larger_plan(spark):
     pages = spark.createDataFrame([(1, "http://a.b.c.d.example.com/" + "x" * 50), (2, "http://q.org/" + "y" * 3)], "page_id long, url string")
     rules = spark.createDataFrame([(".".join(["h"] * k) + ".com", "/" + "x" * m, "block") for k in range(1, 30) for m in range(40)] + [("example.com", "/xx", "block")], "host string, path string, verdict string")
     assert {r.page_id: r.rule for r in url_filter.judge_urls(pages, rules).collect()} == {1: "example.com/xx", 2: None}
+
+
+def test_a_payload_of_many_version_marks_is_cut_in_one_pass(spark):
+    """100,000 marks in one payload: cut inside each, and whole again after the round trip."""
+    text = "WARC/1.1\r\nx" * 100_000
+    pages = spark.createDataFrame([(1, text), (2, "plain"), (3, text + "!")], "page_id long, html string")
+    records = warc.record_types(pages)
+    chunks = warc.chunk_rows(records, chunk_bytes=1 << 12)
+    assert chunks.where("instr(cast(chunk as string), 'WARC/1.1') > 0").count() == 0
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archive_round_trip(pages, warc.archive_path(spark)).collect()}
+    assert got == {k: (len(t), hashlib.sha256(t.encode()).hexdigest()) for k, t in ((1, text), (2, "plain"), (3, text + "!"))}
