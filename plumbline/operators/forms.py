@@ -79,8 +79,9 @@ def by_column_type(scores: DataFrame, columns: DataFrame) -> DataFrame:
 
 def choice_lists(choices: DataFrame, most: int = 8) -> DataFrame:
     """(list_name, codes): the first `most` choices of each list in order."""
-    ordered = choices.groupBy("list_name").agg(F.sort_array(F.collect_list(F.struct("pos", "name"))).alias("all"))
-    return ordered.select("list_name", F.slice(F.transform("all", lambda c: c["name"]), 1, most).alias("codes"))
+    place = F.row_number().over(Window.partitionBy("list_name").orderBy("pos", "name"))  # Spark limits ranks before it shuffles
+    first = choices.select("list_name", "pos", "name").withColumn("__place", place).where(F.col("__place") <= most)
+    return first.groupBy("list_name").agg(F.sort_array(F.collect_list(F.struct("__place", "name"))).alias("all")).select("list_name", F.col("all.name").alias("codes"))
 
 
 def table_columns(rows: DataFrame, choices: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -22,21 +22,48 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _marks(form: Column) -> Column:
-    """The letters of a word, repeats numbered, in one order for all words."""
+    """The letters of a word, repeats numbered, so that words share as many marks as they share letters."""
     letters = F.split(form, "")
-    numbered = F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i), lambda d: d == c)).cast("string")))
-    return F.array_sort(numbered)
+    return F.transform(letters, lambda c, i: F.concat(c, F.size(F.filter(F.slice(letters, 1, i), lambda d: d == c)).cast("string")))
 
 
-def _keys(words: DataFrame, cutoff: float) -> DataFrame:
-    """(form, key): letters one of which any two words share that are similar enough.
+def _rarest_first(words: DataFrame, often: DataFrame) -> DataFrame:
+    """(form, marks): the marks of each word, those that few words have first, in one order for all words."""
+    each = words.select("form", F.explode(_marks(F.col("form"))).alias("mark")).join(often, "mark")
+    ordered = each.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("often", "mark"))).alias("m"))  # the letters of a word
+    return ordered.select("form", F.col("m.mark").alias("marks"))
+
+
+def _keys(marked: DataFrame, cutoff: float) -> DataFrame:
+    """(form, marks, key): marks one of which any two words share that are similar enough.
 
     Two words of n and m letters with ratio r share r(n + m)/2 letters, and m is at least r n/(2 - r); so a word can do
-    without all but the first n - least + 1 of its letters in any fixed order.
+    without all but the first n - least + 1 of its marks in any order that holds for all words.
     """
-    n = F.length("form")
+    n = F.size("marks")
     least = F.ceil(cutoff * (n + cutoff * n / (2 - cutoff)) / 2 - 1e-9)
-    return words.select("form", F.explode(F.slice(_marks(F.col("form")), 1, (n - least + 1).cast("int"))).alias("key"))
+    return marked.select("form", "marks", F.explode(F.slice("marks", 1, (n - least + 1).cast("int"))).alias("key"))
+
+
+def candidates(asked: DataFrame, offered: DataFrame, cutoff: float) -> DataFrame:
+    """(form, other): the pairs of words (form) whose ratio can reach cutoff; none that does is missing.
+
+    Keys are a word's rarest marks, by their number among all words of both sides, and the length of the other word: a
+    text looks up each length that fits its own. What meets must share as many letters as the ratio asks for, which is
+    counted before the letters' order is looked at.
+    """
+    both = asked.select("form").union(offered.select("form")).distinct()
+    often = both.select(F.explode(_marks(F.col("form"))).alias("mark")).groupBy("mark").agg(F.count(F.lit(1)).alias("often"))
+    left, right = (_keys(_rarest_first(side, often), cutoff) for side in (asked, offered))
+    n = F.size("marks")
+    fits = F.sequence(F.ceil(cutoff * n / (2 - cutoff) - 1e-9).cast("int"), F.floor((2 - cutoff) * n / cutoff + 1e-9).cast("int"))
+    left = left.withColumn("size", F.explode(fits))
+    right = right.select(F.col("form").alias("other"), F.col("marks").alias("theirs"), "key", F.size("marks").alias("size"))
+    shared = F.array_intersect("marks", "theirs")
+    enough = 2 * F.size(shared) >= cutoff * (F.size("marks") + F.size("theirs")) - 1e-9
+    # A pair may meet under several keys: it counts under the rarest mark that both have.
+    first = F.get(shared, F.lit(0)) == F.col("key")
+    return left.join(right, ["key", "size"]).where(enough & first).select("form", "other")
 
 
 def snap(rows: DataFrame, text: str, options: DataFrame, option: str, name: str = "snapped", cutoff: float = 0.78, lead: float = 0.08) -> DataFrame:
@@ -51,11 +78,10 @@ def snap(rows: DataFrame, text: str, options: DataFrame, option: str, name: str
     known = formed(options, option).groupBy("form").agg(F.min("given").alias("option"))
     texts = formed(rows, text)
     asked, offered = texts.select("form").distinct(), known.select("form")
-    keys = _keys(asked, cutoff).join(_keys(offered, cutoff).withColumnRenamed("form", "other"), "key")
-    a, b = F.length("form"), F.length("other")
-    pairs = keys.where(2 * F.least(a, b) >= cutoff * (a + b) - 1e-9).select("form", "other").distinct()
-    scored = pairs.withColumn("score", similarity("other", "form")).where(F.col("score") >= cutoff).withColumn("back", similarity("form", "other"))
-    best = scored.groupBy("form").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", "other", "back")), asc=False), 1, 2).alias("best"))  # the options near one word
+    scored = candidates(asked, offered, cutoff).withColumn("score", similarity("other", "form")).where(F.col("score") >= cutoff).withColumn("back", similarity("form", "other"))
+    place = F.row_number().over(Window.partitionBy("form").orderBy(F.desc("score"), F.desc("other")))  # limited before it is shuffled
+    two = scored.withColumn("place", place).where("place <= 2")
+    best = two.groupBy("form").agg(F.sort_array(F.collect_list(F.struct("score", "other", "back")), asc=False).alias("best"))
     alone = (F.size("best") == 1) | (F.col("best")[0]["back"] - F.get("best", F.lit(1))["back"] > lead)
     chosen = best.where(alone).select("form", F.col("best")[0]["other"].alias("other")).join(known.withColumnRenamed("form", "other"), "other")
     answer = texts.join(chosen, "form").select(F.col("given").alias("__given"), F.col("option").alias(name))

@@ -38,7 +38,7 @@ def result_determinism_of_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("reps").cast("int").alias("reps"), F.col("distinct_results").cast("int").alias("distinct_results"))
 
 
-_EDGES = f"SELECT a.x AS lon1, a.y AS lat1, b.x AS lon2, b.y AS lat2 FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS k FROM ({_POINTS}) WHERE label = 0) a JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) AS k FROM ({_POINTS}) WHERE label = 0) b ON b.k = a.k + 1 AND a.k % 4 <> 0"
+_EDGES = f"SELECT a.x AS lon1, a.y AS lat1, b.x AS lon2, b.y AS lat2 FROM (SELECT *, row_number() OVER (ORDER BY vec_id) AS k FROM ({_POINTS}) WHERE label = 0) a JOIN (SELECT *, row_number() OVER (ORDER BY vec_id) AS k FROM ({_POINTS}) WHERE label = 0) b ON b.k = a.k + 1"
 
 
 @_query(f"""WITH e AS ({_EDGES}), p AS (SELECT vec_id, x AS lon, y AS lat FROM ({_POINTS})),
@@ -49,13 +49,11 @@ n AS (SELECT vec_id, lat, lon, lat1 + t * (lat2 - lat1) AS nlat, lon1 + t * (lon
 h AS (SELECT vec_id, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin(radians(nlat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(nlat)) * pow(sin(radians(nlon - lon) / 2), 2)))) AS km FROM n)
 SELECT vec_id FROM h GROUP BY 1 HAVING min(km) <= 0.25""")
 def alg_within_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points at 250 metres or less from lines through the label-0 points, three edges of every four drawn."""
-    from pyspark.sql import Window
-
+    """Points at 250 metres or less from the line through the label-0 points in the order of their ids."""
     points = spatial.xy_of(table(spark, sf_dir, "embeddings")).select("vec_id", "label", F.col("x").alias("lon"), F.col("y").alias("lat"))
-    corners = points.where("label = 0").withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
+    corners = sequences.numbered(points.where("label = 0"), "label", ["vec_id"], "k")
     ends = corners.select((F.col("k") - 1).alias("k"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    edges = corners.where("k % 4 <> 0").select("k", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).join(ends, "k").drop("k")
+    edges = corners.select("k", F.col("lat").alias("lat1"), F.col("lon").alias("lon1")).join(ends, "k").drop("k")
     return spatial.within_km_of_edges(points, edges, 0.25).select("vec_id")
 
 
@@ -192,21 +190,24 @@ def manifest_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.check_manifest(listed, found).select(F.col("name").cast("long").alias("doc_id"), "status")
 
 
-@_query("""SELECT page_id, '<em>' || replace(replace(replace(replace(left(html, 200), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') || '</em>' AS html FROM pages WHERE NOT regexp_matches(left(html, 200), '[*`\\[\\]]')""")
+_ESCAPED = "replace(replace(replace(replace('*' || html || '*', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+for _pattern, _html in (("`([^`]+)`", "<code>\\1</code>"), (r"\*\*([^*]+)\*\*", "<strong>\\1</strong>"), (r"\*([^*]+)\*", "<em>\\1</em>"), (r"\[([^\]]+)\]\(([^)]+)\)", '<a href="\\2">\\1</a>')):
+    _ESCAPED = f"regexp_replace({_ESCAPED}, '{_pattern}', '{_html}', 'g')"
+
+
+@_query(f"SELECT page_id, {_ESCAPED} AS html FROM pages")
 def md_escaped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page heads as emphasised text; those with marks of their own are another query's."""
-    head = F.left("html", F.lit(200))
-    rows = table(spark, sf_dir, "pages").where(~head.rlike(r"[*`\[\]]"))
-    return rows.select("page_id", fx.inline_markdown(F.concat(F.lit("*"), head, F.lit("*"))).alias("html"))
+    """Whole pages as emphasised text, with whatever marks they have of their own."""
+    return table(spark, sf_dir, "pages").select("page_id", fx.inline_markdown(F.concat(F.lit("*"), "html", F.lit("*"))).alias("html"))
 
 
-@_query("""SELECT doc_id, line, true AS shape_ok, text AS back FROM (SELECT doc_id, text,
-CAST(doc_id AS VARCHAR) || ',' || CASE WHEN regexp_matches(text, '[",\\r\\n]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS line FROM documents WHERE NOT regexp_matches(text, '[\\r\\n]') AND text <> '' AND text = trim(text))""")
+@_query("""SELECT doc_id, CAST(doc_id AS VARCHAR) || ',' || CASE WHEN regexp_matches(t, '[",\\r\\n]') THEN '"' || replace(t, '"', '""') || '"' ELSE t END AS line, true AS shape_ok,
+replace(trim(regexp_replace(t, '[\\r\\n]+', ' ', 'g'), ' '), '`', '') AS back FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
 def csv_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole one-line texts as CSV fields and back."""
-    docs = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[\r\n]") & (F.col("text") != "") & (F.col("text") == F.btrim("text")))
-    lines = docs.select("doc_id", fx.csv_line(F.col("doc_id"), F.col("text")).alias("line"))
-    back = lines.withColumn("f", fx.csv_fields(F.col("line"), 2))
+    """Every whole text as a CSV field, line breaks kept in quotes; and, on one line, as a field and back."""
+    docs = table(spark, sf_dir, "documents")
+    flat = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\r\n]+", " "))
+    back = docs.select("doc_id", fx.csv_line(F.col("doc_id"), F.col("text")).alias("line"), fx.csv_fields(fx.csv_line(F.col("doc_id"), flat), 2).alias("f"))
     return back.select("doc_id", "line", "f.shape_ok", F.get("f.values", F.lit(1)).alias("back"))
 
 
@@ -331,12 +332,12 @@ def map_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH l AS (SELECT p_brand AS list_name, p_partkey AS pos, p_name AS name FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY list_name ORDER BY pos, name) AS r FROM l),
-c AS (SELECT list_name, list(name ORDER BY pos, name) AS codes FROM k WHERE r <= 4 GROUP BY 1)
+c AS (SELECT list_name, list(name ORDER BY pos, name) AS codes FROM k WHERE r <= 8 GROUP BY 1)
 SELECT list_name, list_aggregate(CASE WHEN list_aggregate(list_transform(codes, lambda x: CASE WHEN length(x) > 3 THEN 0 ELSE 1 END), 'sum') = 0 AND len(list_distinct(list_transform(codes, lambda x: upper(left(x, 1))))) = len(codes) THEN list_transform(codes, lambda x: upper(left(x, 1))) ELSE codes END, 'string_agg', ';') AS domain FROM c""")
 def choice_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Brands as lists of choices, the first four parts of each; first letters where these tell them apart."""
+    """Brands as lists of choices, the first eight parts of each; first letters where these tell them apart."""
     choices = table(spark, sf_dir, "part").select(F.col("p_brand").alias("list_name"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
-    return forms.choice_lists(choices, 4).select("list_name", F.array_join(fx.initials(F.col("codes")), ";").alias("domain"))
+    return forms.choice_lists(choices).select("list_name", F.array_join(fx.initials(F.col("codes")), ";").alias("domain"))
 
 
 @_query("""SELECT p_partkey, concat_ws('; ', CASE WHEN p_partkey % 7 = 0 THEN 'title is required' END, CASE WHEN p_partkey % 5 = 0 THEN 'a column has no label' END, CASE WHEN p_partkey % 3 = 0 THEN 'unknown column type' END,

@@ -250,6 +250,19 @@ def test_integrity(spark):
     assert one(spark, integrity.element_ids(F.lit('<p id="a"><b grid="c" id="d">'))) == ["a", "d"]
 
 
+def test_snap_looks_at_few_pairs_of_many_words(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 12))) for _ in range(3_000)]
+    frame = spark.createDataFrame([(w,) for w in words], "form string").distinct()
+    pairs = snapping.candidates(frame, frame, 0.78)
+    n = pairs.count()
+    assert pairs.distinct().count() == n and n < 0.02 * len(words) ** 2
+    both = frame.select("form").withColumn("mark", F.explode(snapping._marks(F.col("form"))))
+    often = both.groupBy("mark").agg(F.count(F.lit(1)).alias("often"))
+    keyed = snapping._keys(snapping._rarest_first(frame, often), 0.78).groupBy("key", F.size("marks")).count()
+    assert keyed.agg(F.max("count")).first()[0] < 0.05 * len(words)
+
+
 def test_every_query_matches_its_sql(spark, sf):
     import math
     import os
