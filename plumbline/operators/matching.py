@@ -28,10 +28,12 @@ def nearest_codes(queries: DataFrame, targets: DataFrame, bits: int, block_bits:
     """(code, near, distance): for each distinct code of queries the nearest code of targets, the smaller of equally near.
 
     Multi-index search. Codes are cut into blocks of about block_bits; targets are listed once by each block's value. In
-    round s a query looks up the values that differ from its own in just s bits, block by block. After it, all targets
-    within m * (s + 1) - 1 bits are known for m blocks, as a farther one is the only kind that differs by more than s bits
-    in every block; queries whose best is that near are done, the rest go on. Blocks should have about log2(number of
-    targets) bits, so that a value lists few of them: then a round's lookups grow with the queries alone. Queries with no
+    round s a query looks up the values that differ from its own in just s bits, one block after the other. Once block k
+    of m is done, all targets within m * s + k bits are known, as only farther ones differ by more than s bits in blocks
+    up to k and by s bits or more in the others; queries whose best is that near are done, the rest go on. Blocks should
+    have about log2(number of targets) bits, so that a value lists few of them. A round's lookups grow with the queries
+    that are still open; where most queries have no near target, as among random codes, many rounds are needed, and what
+    is looked at grows faster than the queries. Queries with no
     target within `most` bits (all, by default) have no row; null codes are ignored; without targets there are no rows.
     """
     if not 0 < bits <= MOST_BITS:
@@ -53,24 +55,28 @@ def _searched(queries: DataFrame, targets: DataFrame, bits: int, block_bits: int
         return open_.select("code", none.alias("near"), F.lit(None).cast("int").alias("distance")).where("false")
     done = []
     for s in range(max(width for _, width in blocks) + 1):
-        tried = []
         for k, (at, width) in enumerate(blocks):
             if comb(width, s):
                 masks = [sum(1 << b for b in chosen) for chosen in combinations(range(width), s)]
-                tried.append(open_.select("code", F.lit(k).alias("block"), value(F.col("code"), at, width).alias("own"), F.explode(_constant(masks)).alias("mask")).select("code", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value")))
-        met = _union(tried).join(index, ["block", "value"])
-        packed = F.shiftleft(F.bit_count(F.col("code").bitwiseXOR(F.col("near"))).cast("long"), MOST_BITS).bitwiseOR(F.col("near"))
-        found = met.groupBy("code").agg(F.min(packed).alias("now"))
-        bests = keep(open_.join(found, "code", "left").select("code", F.least("best", "now").alias("best")))
-        sure = len(blocks) * (s + 1) - 1
-        near_enough = F.coalesce(F.shiftright("best", MOST_BITS) <= sure, F.lit(False))
-        done.append(bests.where(near_enough))
-        open_ = bests.where(~near_enough)
-        if sure >= most or open_.limit(1).count() == 0:
-            break
-    all_ = _union([*done, open_]).where(F.col("best").isNotNull())
+                tried = open_.select("code", value(F.col("code"), at, width).alias("own"), F.explode(_constant(masks)).alias("mask")).select("code", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+                # The lookups are many times the rows they are made from, which Spark does not see: they are never broadcast.
+                met = tried.join(index.where(F.col("block") == k).hint("merge"), "value")
+                packed = F.shiftleft(F.bit_count(F.col("code").bitwiseXOR(F.col("near"))).cast("long"), MOST_BITS).bitwiseOR(F.col("near"))
+                found = met.groupBy("code").agg(F.min(packed).alias("now"))
+                open_ = keep(open_.join(found, "code", "left").select("code", F.least("best", "now").alias("best")))
+            sure = len(blocks) * s + k
+            near_enough = F.coalesce(F.shiftright("best", MOST_BITS) <= sure, F.lit(False))
+            done.append(open_.where(near_enough))
+            open_ = open_.where(~near_enough)
+            if sure >= most or open_.limit(1).count() == 0:
+                return _unpacked(_union([*done, open_]), most)
+    return _unpacked(_union([*done, open_]), most)
+
+
+def _unpacked(bests: DataFrame, most: int) -> DataFrame:
     distance = F.shiftright("best", MOST_BITS).cast("int")
-    return all_.select("code", F.col("best").bitwiseAND(F.lit((1 << MOST_BITS) - 1)).alias("near"), distance.alias("distance")).where(F.col("distance") <= most)
+    known = bests.where(F.col("best").isNotNull())
+    return known.select("code", F.col("best").bitwiseAND(F.lit((1 << MOST_BITS) - 1)).alias("near"), distance.alias("distance")).where(F.col("distance") <= most)
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
