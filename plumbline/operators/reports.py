@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.fitting import percentiles
+
 
 def run_report(rows: DataFrame, key: str, metric: str, verdict: str, bucket: str, latency: str | None = None) -> DataFrame:
     """(key, n, n_error, mean, n_bucket, bucket_mean, bucket_min, mean_latency) of result rows with a column `error`.
@@ -38,8 +40,8 @@ def run_summary(rows: DataFrame, metrics: list[str], verdict: str = "verdict", l
 
 def iqr_cut(rows: DataFrame, group: str, value: str, factor: float = 3.0, slack: float = 4.0) -> DataFrame:
     """rows whose value is under the group's median + factor x (interquartile range + slack); exact percentiles."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    limits = rows.groupBy(F.col(group).alias("__g")).agg(q.alias("__q")).select("__g", (F.col("__q")[1] + factor * (F.col("__q")[2] - F.col("__q")[0] + slack)).alias("__limit"))
+    q = F.col("__q")
+    limits = percentiles(rows, group, value, [0.25, 0.5, 0.75], "__q").select(F.col(group).alias("__g"), (q[1] + factor * (q[2] - q[0] + slack)).alias("__limit"))
     return rows.join(limits, F.col(group).eqNullSafe(F.col("__g"))).where(F.col(value) < F.col("__limit")).drop("__g", "__limit")
 
 

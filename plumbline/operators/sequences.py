@@ -144,6 +144,15 @@ def numbered(rows: DataFrame, group: str, order: list[str], name: str, most: int
     return _with_summary(local, sizes, group).withColumn(name, F.col("__sq_base") + F.col("__sq_row")).drop("__sq_block", "__sq_row", "__sq_base")
 
 
+def running(rows: DataFrame, group: str, order: list[str], amount: Column, name: str, most: int = MOST) -> DataFrame:
+    """rows with `name`: the sum of amount (null counts as 0) in its group up to and with each row; order without ties."""
+    cut = blocked(rows, group, order, most).withColumn("__sq_amount", F.coalesce(amount, F.lit(0)))
+    w, before, _ = _windows(group, order)
+    local = cut.withColumn("__sq_own", F.sum("__sq_amount").over(w))
+    sums = local.groupBy(group, "__sq_block").agg(F.sum("__sq_amount").alias("__sq_n")).withColumn("__sq_base", F.coalesce(F.sum("__sq_n").over(before), F.lit(0))).select(group, "__sq_block", "__sq_base")
+    return _with_summary(local, sums, group).withColumn(name, F.col("__sq_base") + F.col("__sq_own")).drop("__sq_block", "__sq_amount", "__sq_own", "__sq_base")
+
+
 def unique_keys(rows: DataFrame, key: str, order: list[str], name: str = "key", most: int = MOST) -> DataFrame:
     """rows with `name`: the key, with an underscore for each earlier row that has the same one."""
     placed = numbered(rows, key, order, "__sq_at", most)
