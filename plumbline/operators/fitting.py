@@ -6,11 +6,13 @@ out, a row a group, is broadcast to the rows only where its rows have been count
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.sequences import MOST, running
-from plumbline.storage import durable
+from plumbline.storage import durable, rounds
 
 #: Rows of one row a group that are broadcast at most.
 _BROADCAST_GROUPS = 100_000
@@ -31,21 +33,23 @@ def percentiles(rows: DataFrame, group: str, value: str, fractions: list[float],
 
     A percentile between two values lies on the line between them. Nulls and NaN are left out; a group of nothing else has
     no row, null is a group as any other. Equal values are counted first, and the ranks where the counts end are running
-    sums; no task holds the values of a whole group.
+    sums; no task holds the values of a whole group. rows are read once: the counts are written, and go when the result,
+    one row a group, is there.
     """
     if not all(0 <= q <= 1 for q in fractions):
         raise ValueError("fractions lie between 0 and 1")
     v = F.col(value).cast("double")
-    counted = rows.where(_usable(v)).groupBy(F.col(group).alias("__ft_g"), v.alias("__ft_v")).agg(F.count(F.lit(1)).alias("__ft_n"))
-    ranked = running(counted, "__ft_g", ["__ft_v"], F.col("__ft_n"), "__ft_end", most)
-    whole = durable(ranked.groupBy("__ft_g").agg(F.max("__ft_end").alias("__ft_all")))
-    placed = _beside(ranked.withColumnRenamed("__ft_g", "__ft_own"), "__ft_own", whole)
-    at = [(F.col("__ft_all") - 1) * F.lit(float(q)) for q in fractions]
-    held = lambda rank: F.max(F.when((F.col("__ft_end") - F.col("__ft_n") <= rank) & (rank < F.col("__ft_end")), F.col("__ft_v")))
-    ends = [e for k, p in enumerate(at) for e in (held(F.floor(p)).alias(f"__ft_low{k}"), held(F.ceil(p)).alias(f"__ft_high{k}"))]
-    met = placed.groupBy("__ft_own").agg(F.first("__ft_all").alias("__ft_all"), *ends)
-    each = [F.col(f"__ft_low{k}") + (F.col(f"__ft_high{k}") - F.col(f"__ft_low{k}")) * (p - F.floor(p)) for k, p in enumerate(at)]
-    return met.select(F.col("__ft_own").alias(group), F.array(*each).alias(name))
+    with rounds(rows.sparkSession) as keep:
+        counted = keep(rows.where(_usable(v)).groupBy(F.col(group).alias("__ft_g"), v.alias("__ft_v")).agg(F.count(F.lit(1)).alias("__ft_n")))
+        whole = keep(counted.groupBy("__ft_g").agg(F.sum("__ft_n").alias("__ft_all")))
+        ranked = running(counted.withColumnRenamed("__ft_g", "__ft_own"), "__ft_own", ["__ft_v"], F.col("__ft_n"), "__ft_end", most)
+        placed = _beside(ranked, "__ft_own", whole)
+        at = [(F.col("__ft_all") - 1) * F.lit(float(q)) for q in fractions]
+        held = lambda rank: F.max(F.when((F.col("__ft_end") - F.col("__ft_n") <= rank) & (rank < F.col("__ft_end")), F.col("__ft_v")))
+        ends = [e for k, p in enumerate(at) for e in (held(F.floor(p)).alias(f"__ft_low{k}"), held(F.ceil(p)).alias(f"__ft_high{k}"))]
+        met = placed.groupBy("__ft_own").agg(F.first("__ft_all").alias("__ft_all"), *ends)
+        each = [F.col(f"__ft_low{k}") + (F.col(f"__ft_high{k}") - F.col(f"__ft_low{k}")) * (p - F.floor(p)) for k, p in enumerate(at)]
+        return durable(met.select(F.col("__ft_own").alias(group), F.array(*each).alias(name)))
 
 
 def robust_lines(rows: DataFrame, group: str, x: str, y: str, refits: int = 1, share: float = 0.8, near: float = 4.0, least: int = 4, most: int = MOST) -> DataFrame:
@@ -56,20 +60,25 @@ def robust_lines(rows: DataFrame, group: str, x: str, y: str, refits: int = 1, s
     without x or y are left out; a group of fewer than `least` points, or with one x only, has null for a line.
 
     A fit is one aggregate (sums of squares about the mean, merged between tasks), a refit is two: the percentile and the
-    fit. Lines are written between rounds, one row a group.
+    fit. rows are read once: points and the lines between rounds are written, and go when the result is there.
     """
+    with rounds(rows.sparkSession) as keep:
+        return durable(_fitted(rows, group, x, y, refits, share, near, least, most, keep))
+
+
+def _fitted(rows: DataFrame, group: str, x: str, y: str, refits: int, share: float, near: float, least: int, most: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     at, to = F.col(x).cast("double"), F.col(y).cast("double")
-    points = rows.where(_usable(at) & _usable(to)).select(F.col(group).alias("__ft_of"), at.alias("__ft_x"), to.alias("__ft_y"))
+    points = keep(rows.where(_usable(at) & _usable(to)).select(F.col(group).alias("__ft_of"), at.alias("__ft_x"), to.alias("__ft_y")))
     fit = [F.count(F.lit(1)).alias("__ft_used"), F.regr_intercept("__ft_y", "__ft_x").alias("__ft_a"), F.regr_slope("__ft_y", "__ft_x").alias("__ft_b")]
-    lines = durable(points.groupBy(F.col("__ft_of").alias("__ft_g")).agg(F.count(F.lit(1)).alias("__ft_n"), *fit))
+    lines = keep(points.groupBy(F.col("__ft_of").alias("__ft_g")).agg(F.count(F.lit(1)).alias("__ft_n"), *fit))
     for _ in range(refits):
         off = _beside(points, "__ft_of", lines.where(F.col("__ft_n") >= least)).withColumn("__ft_off", F.abs(F.col("__ft_a") + F.col("__ft_b") * F.col("__ft_x") - F.col("__ft_y")))
-        limits = durable(percentiles(off, "__ft_of", "__ft_off", [share], "__ft_q", most).select(F.col("__ft_of").alias("__ft_g"), F.greatest(F.lit(float(near)), F.col("__ft_q")[0]).alias("__ft_limit")))
+        limits = keep(percentiles(off, "__ft_of", "__ft_off", [share], "__ft_q", most).select(F.col("__ft_of").alias("__ft_g"), F.greatest(F.lit(float(near)), F.col("__ft_q")[0]).alias("__ft_limit")))
         kept = _beside(off.select("__ft_of", "__ft_x", "__ft_y", "__ft_off"), "__ft_of", limits).where(F.col("__ft_off") < F.col("__ft_limit"))
         again = kept.groupBy(F.col("__ft_of").alias("__ft_again")).agg(*[c.alias(f"__ft_new{k}") for k, c in enumerate(fit)])
         new = F.col("__ft_new0") >= least
         better = [F.coalesce(F.when(new & F.col("__ft_new2").isNotNull(), F.col(f"__ft_new{k}")), F.col(c)).alias(c) for k, c in enumerate(("__ft_used", "__ft_a", "__ft_b"))]
-        lines = durable(lines.join(again, F.col("__ft_g").eqNullSafe(F.col("__ft_again")), "left").select("__ft_g", "__ft_n", *better))
+        lines = keep(lines.join(again, F.col("__ft_g").eqNullSafe(F.col("__ft_again")), "left").select("__ft_g", "__ft_n", *better))
     enough = F.col("__ft_n") >= least
     line = [F.when(enough & F.col("__ft_b").isNotNull(), F.col(c)).alias(n) for c, n in (("__ft_a", "intercept"), ("__ft_b", "slope"))]
     return lines.select(F.col("__ft_g").alias(group), F.col("__ft_n").alias("n"), F.col("__ft_used").alias("used"), *line)

@@ -526,7 +526,7 @@ def ablation_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from plumbline import queries_matching, queries_more  # noqa: F401  they register their queries as they are imported
+    from plumbline import queries_fitting, queries_matching, queries_more  # noqa: F401  they register their queries as they are imported
 
     return dict(QUERIES)
 
