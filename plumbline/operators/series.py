@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+DIRECTIONS = ("rising", "falling", "flat")
+
 
 def count_by_time(rows: DataFrame, time: str, unit: str, *keys: str) -> DataFrame:
     """(keys, t, value): rows in each year, month or day that has any, t as text in ISO order."""
@@ -30,10 +32,15 @@ def trend(series: DataFrame, *keys: str, flat: float = 0.0) -> DataFrame:
 
 
 def diverging(trends: DataFrame, source: str) -> DataFrame:
-    """Pairs (source_a, source_b) of a trend table whose directions differ, each pair once."""
+    """Pairs (source_a, source_b) of a trend table whose directions differ, each pair once.
+
+    A source is joined by each direction that is not its own, so only pairs of unlike directions meet; these are the
+    result, whose size is up to a third of the square of the number of sources.
+    """
     a = trends.select(F.col(source).alias("source_a"), F.col("direction").alias("direction_a"))
     b = trends.select(F.col(source).alias("source_b"), F.col("direction").alias("direction_b"))
-    return a.join(b, (F.col("source_a") < F.col("source_b")) & (F.col("direction_a") != F.col("direction_b")))
+    others = F.array_remove(F.array(*[F.lit(d) for d in DIRECTIONS]), F.col("direction_a"))
+    return a.withColumn("direction_b", F.explode(others)).join(b, "direction_b").where("source_a < source_b").select("source_a", "direction_a", "source_b", "direction_b")
 
 
 def top_groups(rows: DataFrame, group: str, top: int, within: str | None = None) -> DataFrame:

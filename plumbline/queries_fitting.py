@@ -1,11 +1,12 @@
-"""Registered queries of percentiles, fitted lines and shares; each with the SQL that it must equal."""
+"""Registered queries of percentiles, fitted lines, shares, table columns and pruning; each with the SQL that it must equal."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import fitting
+from plumbline.functions import text as fx
+from plumbline.operators import fitting, forms, jobs
 from plumbline.registry import query as _query
 from plumbline.sources.catalog import table
 
@@ -52,3 +53,24 @@ def line_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity")
     found = fitting.shares_with_floor(lines, "l_orderkey", "l_quantity", 416.0, 26.0, "width")
     return found.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.round("width", 6).alias("width"))
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the labels do not know, as names that a mirror would drop."""
+    return jobs.prunable(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@_query("""WITH q AS (SELECT o_custkey AS form, CASE o_orderstatus WHEN 'O' THEN 'integer' WHEN 'F' THEN 'select_one L' || o_custkey % 7 ELSE 'note' END AS type FROM orders),
+t AS (SELECT form, CASE type WHEN 'integer' THEN 'int' WHEN 'select_one L0' THEN 'yn' WHEN 'note' THEN NULL ELSE 'choice' END AS type FROM q WHERE type NOT IN ('select_one L5', 'select_one L6'))
+SELECT form, type, CASE type WHEN 'int' THEN 'amount' ELSE 'code' END AS kind, count(*) AS columns FROM t WHERE type IS NOT NULL GROUP BY 1, 2""")
+def template_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as questions of their customer's form: what columns a table of each form gets, and what these hold."""
+    status = F.col("o_orderstatus")
+    kind = F.when(status == "O", "integer").when(status == "F", F.concat(F.lit("select_one L"), F.col("o_custkey") % 7)).otherwise("note")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("form"), F.col("o_orderkey").alias("pos"), F.col("o_orderpriority").alias("label"), kind.alias("type"))
+    region = F.col("n_regionkey")  # a list a region; the first one is yes and no
+    name = F.when(region == 0, F.when(F.col("n_nationkey") % 2 == 0, "Yes").otherwise("no")).otherwise(F.col("n_name"))
+    choices = table(spark, sf_dir, "nation").select(F.concat(F.lit("L"), region).alias("list_name"), F.col("n_nationkey").alias("pos"), name.alias("name"))
+    columns = forms.table_columns(rows, choices).withColumn("kind", forms.value_kind(F.col("type")))
+    return columns.groupBy("form", "type", "kind").agg(F.count(F.lit(1)).alias("columns"))
