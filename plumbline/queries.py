@@ -532,4 +532,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, sql in SQL.items() if name in queries()}
+    known = queries()
+    return {name: sql for name, sql in SQL.items() if name in known}
