@@ -62,7 +62,8 @@ def within_km_of_edges(points: DataFrame, edges: DataFrame, km: float, lat: str
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), along))
     n_lat, n_lon = F.col("__lat1") + t * (F.col("__lat2") - F.col("__lat1")), F.col("__lon1") + t * (F.col("__lon2") - F.col("__lon1"))
     near = (cell(p_lat) == F.col("__cy")) & (cell(p_lon) == F.col("__cx")) & (haversine_km(p_lat, p_lon, n_lat, n_lon) <= km)
-    return points.join(spread, near, "left_semi")
+    # Spark sees the number of edges, not of their cells, and would broadcast them.
+    return points.join(spread.hint("merge"), near, "left_semi")
 
 
 def _cross(o: tuple, a: tuple, b: tuple) -> float:
