@@ -25,9 +25,9 @@ def manifest(files: DataFrame, name: str, content: str) -> DataFrame:
 
 
 def check_manifest(listed: DataFrame, found: DataFrame) -> DataFrame:
-    """(name, status) of every listed file: ok, missing or changed."""
-    there = found.select("name", F.col("sha256").alias("__sha"))
-    status = F.when(F.col("__sha").isNull(), "missing").when(F.col("__sha") != F.col("sha256"), "changed").otherwise("ok")
+    """(name, status) of every listed file: ok, missing or changed. A file that is there without contents is not missing."""
+    there = found.select("name", F.col("sha256").alias("__sha"), F.lit(True).alias("__there"))
+    status = F.when(F.col("__there").isNull(), "missing").when(~F.col("__sha").eqNullSafe(F.col("sha256")), "changed").otherwise("ok")
     return listed.join(there, "name", "left").select("name", status.alias("status"))
 
 

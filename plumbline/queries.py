@@ -440,7 +440,8 @@ def first_seen_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT printf('%05d-page.md', doc_id) AS name, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'ok' END AS status FROM documents")
 def manifest_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("name", F.concat(F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("-page.md")))
+    """Five digits at least, as longer ids go whole into the name; a null text is an empty file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.format_string("%05d-page.md", "doc_id").alias("name"), F.coalesce("text", F.lit("")).alias("text"))
     listed = integrity.manifest(docs, "name", "text")
     there = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return integrity.check_manifest(listed, integrity.manifest(there, "name", "text"))

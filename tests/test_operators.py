@@ -285,3 +285,13 @@ def test_every_query_matches_its_sql(spark, sf):
         columns = [d[0] for d in want.description]
         assert sorted(df.columns) == sorted(columns), name
         assert plain(df.select(*columns).collect()) == plain(want.fetchall()), name
+
+
+def test_manifest_of_long_ids_and_null_texts(spark, tmp_path):
+    import __spark_entry__
+
+    ids = [1, 5, 7, 10, 11, 35, 99_999, 100_001, 100_009, 100_011, 1_000_005, 1_000_006]
+    spark.createDataFrame([(i, None if i in (10, 11) else f"text {i}") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, __spark_entry__.queries()["manifest_integrity"](spark, str(tmp_path)).collect()))
+    assert got == sorted((f"{i:05d}-page.md", "missing" if i % 7 == 0 else "changed" if i % 5 == 0 else "ok") for i in ids)
+    assert (f"{1_000_005:05d}-page.md", "changed") in got
