@@ -54,16 +54,21 @@ def with_question(runs: DataFrame, bank: DataFrame, key: str = "qid") -> DataFra
     return joined.withColumn(key, F.when(F.col("__known"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("no such question: "), F.col(key))))).drop("__known")
 
 
-def citations(runs: DataFrame, pages: DataFrame, keys: list[str], text: str = "body", links: int = 8, shown: int = 4) -> DataFrame:
+def citations(runs: DataFrame, pages: DataFrame, keys: list[str], text: str = "body", links: int = 8, shown: int = 4, by: list[str] | None = None, linked: bool = True) -> DataFrame:
     """(keys, pos, url, resolves, numbers): each of the first `links` links of a run, in order and with repeats.
 
     numbers: up to `shown` numbers of the run, of three characters or more, that the page contains once its commas are
-    gone. A link without a page resolves, but contains nothing.
+    gone. A link without a page resolves, but contains nothing. `by`: those of the keys that pages has as well, where
+    each run's pages were fetched for it alone. Of several pages of one link the smallest body counts, a failed one last.
+    Without `linked`, numbers that are part of a link are not numbers of the run.
     """
-    said = F.filter(fx.numbers(F.col(text)), lambda n: F.length(n) >= 3)
+    own = by or []
+    prose = F.col(text) if linked else F.regexp_replace(text, fx.URL, " ")
+    said = F.filter(fx.numbers(prose), lambda n: F.length(n) >= 3)
     cited = runs.select(*keys, said.alias("said"), F.posexplode(fx.urls(F.col(text), links)).alias("pos", "url"))
-    bodies = pages.select("url", F.replace("body", F.lit(","), F.lit("")).alias("plain"))
-    joined = cited.join(bodies, "url", "left").withColumn("plain", F.coalesce("plain", F.lit("")))
+    bodies = pages.groupBy(*own, "url").agg(F.min_by("body", F.struct(F.col("body").startswith(FAILED), "body")).alias("body"))
+    bodies = bodies.select(*own, "url", F.replace("body", F.lit(","), F.lit("")).alias("plain"))
+    joined = cited.join(bodies, [*own, "url"], "left").withColumn("plain", F.coalesce("plain", F.lit("")))
     resolves = ~F.col("plain").startswith(FAILED)
     there = F.slice(F.filter("said", lambda n: F.contains(F.col("plain"), n)), 1, shown)
     return joined.select(*keys, "pos", F.left("url", F.lit(160)).alias("url"), resolves.alias("resolves"), F.when(resolves, there).otherwise(F.array().cast("array<string>")).alias("numbers"))

@@ -332,12 +332,15 @@ def plan_determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""SELECT page_id, 0 AS pos, left(url, 160) AS url, page_id % 5 <> 0 OR page_id % 7 = 0 AS resolves,
 CASE WHEN page_id % 7 = 0 OR page_id % 5 = 0 THEN '' WHEN page_id % 2 = 0 THEN CAST(page_id + 100000 AS VARCHAR) ELSE '' END AS numbers FROM pages""")
 def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers that cite a page and name a number; some pages are missing, some failed, half of the others have the number."""
+    """Answers that cite a page and name a number; some pages are missing, some failed, half of the others have the number.
+
+    Each answer's page was fetched for it, as pages share urls, and the numbers in urls are none of the answer's.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     number = F.format_number(F.col("page_id") + 100_000, 0)
     runs = pages.select("page_id", F.concat(F.lit("It is "), number, F.lit(" of 12 [see "), "url", F.lit("].")).alias("body"))
     body = F.when(F.col("page_id") % 5 == 0, F.lit(citations.FAILED)).when(F.col("page_id") % 2 == 0, F.concat(F.lit("in all "), number)).otherwise("nothing")
-    found = citations.citations(runs, pages.where("page_id % 7 <> 0").select("url", body.alias("body")), ["page_id"])
+    found = citations.citations(runs, pages.where("page_id % 7 <> 0").select("page_id", "url", body.alias("body")), ["page_id"], by=["page_id"], linked=False)
     return found.withColumn("numbers", F.array_join("numbers", ";"))
 
 

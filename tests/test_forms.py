@@ -45,6 +45,27 @@ def test_citations_and_digest(spark):
     assert entry.startswith("### m / q1\nauto: gold_num=true cites=4 ask=false nodata=false\n1234 of 56")
 
 
+def test_citations_of_pages_that_share_a_link(spark):
+    url = "http://a/123"
+    runs = spark.createDataFrame([(i, f"1,123 and 456, see {url}") for i in (1, 2, 3)], "i int, body string")
+    pages = spark.createDataFrame([(1, url, "1,123"), (2, url, "__FETCH_FAIL__"), (3, url, "456")], "i int, url string, body string")
+    got = lambda **k: [tuple(r) for r in citations.citations(runs, pages, ["i"], **k).select("i", "resolves", "numbers").orderBy("i").collect()]
+    assert got(by=["i"], linked=False) == [(1, True, ["1123"]), (2, False, []), (3, True, ["456"])]
+    assert got(by=["i"]) == [(1, True, ["1123", "123"]), (2, False, []), (3, True, ["456"])]
+    assert got() == [(i, True, ["1123", "123"]) for i in (1, 2, 3)]  # one page of a link, not one row for each
+
+
+def test_citation_check_of_pages_with_one_url(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    spark.createDataFrame([(i, "http://a.example/en/100/") for i in range(1, 80)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = duckdb.sql(__spark_entry__.oracle_sql()["citation_check"]).fetchall()
+    assert sorted(map(tuple, __spark_entry__.queries()["citation_check"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_a_run_without_its_question_fails(spark):
     import pytest
 
