@@ -295,3 +295,17 @@ def test_manifest_of_long_ids_and_null_texts(spark, tmp_path):
     got = sorted(map(tuple, __spark_entry__.queries()["manifest_integrity"](spark, str(tmp_path)).collect()))
     assert got == sorted((f"{i:05d}-page.md", "missing" if i % 7 == 0 else "changed" if i % 5 == 0 else "ok") for i in ids)
     assert (f"{1_000_005:05d}-page.md", "changed") in got
+
+
+def test_unique_keys_shown_modulo_form_no_long_names(spark):
+    n = 1_500_000  # whole names are 10^12 characters
+    rows = spark.range(n).select("id", F.lit("k").alias("v"))
+    found = sequences.unique_keys(rows, "v", ["id"], most=100_000, modulo=3).select("id", F.length("key").alias("n"))
+    assert found.where((F.col("id") % 3 + 1) != F.col("n")).count() == 0 and found.count() == n
+
+
+def test_blocks_of_many_cuts_follow_the_order(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1 << 40)).alias("at"))
+    found = sequences.blocked(rows, "g", ["at"], most=50).groupBy("g", "__sq_block").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).orderBy("g", "__sq_block").collect()
+    assert len(found) > 300 and sum(r.n for r in found) == 20_000 and max(r.n for r in found) < 1000
+    assert all(a.high < b.low for a, b in zip(found, found[1:], strict=False) if a.g == b.g)
