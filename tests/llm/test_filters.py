@@ -257,6 +257,27 @@ def test_toxicity_sample_of_repeated_ids_and_long_texts(spark, monkeypatch):
     assert seen == [sorted([(f"calm words {i}".encode(), 0) for i in range(10)] + [(b"vile text " * 5000, 1)])]
 
 
+def test_toxicity_learns_from_every_labelled_text_in_tasks(spark, monkeypatch):
+    rows = [(i, f"{'vile' if i % 4 == 0 else 'calm'} words of number {i % 50} here", "en" if i % 3 else "de") for i in range(600)]
+    docs = spark.createDataFrame([*rows, (None, "vile", "en"), (9999, None, "en")], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(2000)] + [(None, 1)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "_LOCAL_DOCS", 100)
+    monkeypatch.setattr(toxicity, "train", None)  # nothing is learnt by the driver
+    counted, counts = [], toxicity._slot_counts
+    monkeypatch.setattr(toxicity, "_slot_counts", lambda given: counted.append(given.count()) or counts(given))
+    model = toxicity.fit_toxicity(docs, labels)
+    judged = toxicity.sample_keys(docs).where("doc_id < 600 and pmod(sample_key, 5) = 0").count()
+    assert counted == [600 - judged] and set(model.threshold) >= {-1} and model.languages.languages == ["de", "en"]
+    bad, good = toxicity._slot_counts(docs.where("doc_id < 600").selectExpr("text", "cast(doc_id % 4 = 0 as int) as toxic"))
+    a, b = (x % toxicity.TABLE for x in toxicity._buckets("vile"))
+    assert (bad[a], good[a], bad[b], good[b]) == (150, 0, 150, 0)
+    found = toxicity.score_texts(docs.where("doc_id < 600"), model).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 4 == 0) for r in found)
+    s, y = np.array([0.9, 0.8, 0.6, 0.4, 0.2]), np.array([1, 1, 0, 1, 0])
+    at = (s * 1000).astype(int)
+    assert toxicity._best_bin(np.bincount(at[y == 1], minlength=1000), np.bincount(at[y == 0], minlength=1000)) == pytest.approx(toxicity._threshold(s, y), abs=1e-3)
+
+
 def _plain_score(model, text):
     """The network's answer by plain loops: embeddings, ramp of each filter at each place, largest, logistic."""
     vectors = [model.embedding[model.row.get(a, 0)].astype(float) + model.embedding[model.row.get(b, 0)] for a, b in map(toxicity._buckets, text.decode().split())]
