@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import language, quality, toxicity, url_filter, warc
 from tests.llm.conftest import ODD
@@ -278,6 +279,23 @@ def test_toxicity_learns_from_every_labelled_text_in_tasks(spark, monkeypatch):
     assert toxicity._best_bin(np.bincount(at[y == 1], minlength=1000), np.bincount(at[y == 0], minlength=1000)) == pytest.approx(toxicity._threshold(s, y), abs=1e-3)
 
 
+def test_labelled_texts_are_dealt_to_tasks_however_few_labels_there_are(spark, monkeypatch):
+    rows = [(i, f"{'vile' if i < 300 else 'calm'} words of number {i % 50} here") for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(4, "doc_id")  # one task has all toxic ones
+    labels = spark.createDataFrame([(i, int(i < 300)) for i in range(1200)], "doc_id long, toxic int")
+    met, fit = [], toxicity._fit_whole
+    monkeypatch.setattr(toxicity, "_LOCAL_DOCS", 100)
+    monkeypatch.setattr(toxicity, "_fit_whole", lambda given, *a: (met.extend(given.groupBy(F.spark_partition_id()).agg(F.avg("toxic"), F.count("toxic")).collect()), fit(given, *a))[1])
+    model = toxicity.fit_toxicity(docs, labels, lang_col=None)
+    assert sum(r[2] for r in met) == 1200 and all(0.1 < r[1] < 0.5 for r in met)
+    assert all((r.score >= 0.5) == (r.doc_id < 300) for r in toxicity.score_texts(docs, model).collect())
+    # Texts move once at any size, so that what lies on disk keeps its share of the input as labels grow in number.
+    near = toxicity._labelled(toxicity.sample_keys(docs), labels.select(F.col("doc_id").alias("l_id"), "toxic"))
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def _plain_score(model, text):
     """The network's answer by plain loops: embeddings, ramp of each filter at each place, largest, logistic."""
     vectors = [model.embedding[model.row.get(a, 0)].astype(float) + model.embedding[model.row.get(b, 0)] for a, b in map(toxicity._buckets, text.decode().split())]
